@@ -17,8 +17,8 @@ _TOKENS = rf"""
 cells as (select row_id, 1 as slot, phone_1_value as v, phone_1_label as label, ({_SPAM}) as spam from contact_rows
   union all select row_id, 2, phone_2_value, phone_2_label, ({_SPAM}) from contact_rows),
 parts as (select row_id, slot, label, spam, unnest(string_split_regex({_trim('v')}, '\s*:::\s*')) as t,
-  generate_subscripts(string_split_regex({_trim('v')}, '\s*:::\s*'), 1) as at from cells),
-tokens as (select row_id, slot, coalesce(label, '') as label, spam, at, {_trim('t')} as raw from parts where {_trim('t')} <> ''),
+  generate_subscripts(string_split_regex({_trim('v')}, '\s*:::\s*'), 1) as nth from cells),
+tokens as (select row_id, slot, coalesce(label, '') as label, spam, nth, {_trim('t')} as raw from parts where {_trim('t')} <> ''),
 cleaned as (select *, {_trim("translate(raw, chr(160) || chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8212), ' -----')")} as shown from tokens),
 digits as (select *, regexp_replace(shown, '[^0-9]', '', 'g') as d from cleaned),
 routed as (select *, not starts_with(shown, '+') and starts_with(d, '00') and length(d) >= 10 as zeros from digits),
@@ -39,8 +39,8 @@ ruled as (select *, case
   when length(d) between 5 and 9 then 'SHORT_CODE_LEN' || length(d)
   when length(d) <= 4 then 'VERY_SHORT_CODE_LEN' || length(d)
   else 'LENGTH' end as rule from intl),
-phones_ as (select row_id, slot, at, label, spam, raw, shown as cleaned_display,
-  row_number() over (partition by row_id order by slot, at) as phone_ord,
+phones_ as (select row_id, slot, nth, label, spam, raw, shown as cleaned_display,
+  row_number() over (partition by row_id order by slot, nth) as phone_ord,
   case when rule in ('NONE','MXSHORT','PLUSSHORT','LENGTH') then null when rule like '%SHORT_CODE%' then shown
     when rule = 'E164_OTHER_COUNTRY' then '+' || e when rule like 'E164%' then right(e, 10) else right(d, 10) end as canonical_key,
   case when rule in ('NONE','MXSHORT','PLUSSHORT','LENGTH') then null when rule like '%SHORT_CODE%' then 'RAW_SHORT'
@@ -55,7 +55,7 @@ phones_ as (select row_id, slot, at, label, spam, raw, shown as cleaned_display,
   from ruled)"""
 
 _USABLE = f"""{_TOKENS},
-usable as (select *, row_number() over (partition by row_id order by slot, at) as ord, key_type || '::' || canonical_key as key
+usable as (select *, row_number() over (partition by row_id order by slot, nth) as ord, key_type || '::' || canonical_key as key
   from phones_ where key_type is not null)"""
 
 _SHOWN = "case when key_type = 'TEN_DIGIT' and country = 'MX' then '+52' || canonical_key when key_type = 'TEN_DIGIT' and country = 'US' then '+1' || canonical_key else canonical_key end"
@@ -118,12 +118,12 @@ _SQL = {
     "phone_category_counts": f"with {_TOKENS} select category, count(*) as tokens, count(distinct row_id) as contacts from phones_ group by category",
     "phone_render": f"with {_USABLE} select row_id, ord as phone_ord, {_SHOWN} as shown from usable",
     "phone_explode": f"with {_USABLE} select row_id, ord as phone_ord, key_type, canonical_key, label as source_label from usable where not spam",
-    "phone_tokens_split": f"with {_TOKENS} select row_id, row_number() over (partition by row_id order by at) - 1 as at, raw as token from tokens where slot = 1",
+    "phone_tokens_split": f"with {_TOKENS} select row_id, row_number() over (partition by row_id order by nth) - 1 as nth, raw as token from tokens where slot = 1",
     "accent_strip": "select row_id, strip_accents(first_name) as first_name, strip_accents(last_name) as last_name, strip_accents(address_1_formatted) as address_1_formatted from contact_rows",
     "name_token_dedupe": rf"""with parts as (select row_id, unnest([{', '.join(_trim(c) for c in _ORDER)}]) as p, generate_subscripts([1,2,3,4,5,6], 1) as part from contact_rows),
-words as (select row_id, part, unnest(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+')) as w, generate_subscripts(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+'), 1) as at from parts),
-first_ as (select *, row_number() over (partition by row_id, lower(w) order by part, at) as rn from words),
-kept as (select row_id, part, string_agg(w, ' ' order by at) as p from first_ where rn = 1 group by row_id, part)
+words as (select row_id, part, unnest(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+')) as w, generate_subscripts(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+'), 1) as nth from parts),
+first_ as (select *, row_number() over (partition by row_id, lower(w) order by part, nth) as rn from words),
+kept as (select row_id, part, string_agg(w, ' ' order by nth) as p from first_ where rn = 1 group by row_id, part)
 select c.row_id, coalesce(string_agg(k.p, ' - ' order by part), '') as name from contact_rows c left join kept k using (row_id) group by c.row_id""",
     "spam_filter": f"select row_id, source_file, source_row_number::bigint as source_row from contact_rows where not ({_SPAM})",
     "phone_key_index": f"with {_INDEX} select key, n_occ, n_rows, first_row from index_",
@@ -135,8 +135,8 @@ from it join o using (step) join usable u on u.key = it.key join contact_rows c
     "scalar_backfill": f"with recursive {_BASE} select s.cluster_id, {', '.join(_backfill(c) for c in _SCALARS)} from scored s join base b using (cluster_id) group by s.cluster_id",
     "name_variants": f"""with recursive {_BASE},
 named as (select cluster_id, row_id, strip_accents({_trim("(" + _trim('first_name') + " || ' ' || " + _trim('last_name') + ")")}) as name from scored),
-other as (select n.cluster_id, n.name, min(n.row_id) as at from named n join base b using (cluster_id) join named bn on bn.row_id = b.base_row where n.name <> '' and n.name <> bn.name group by 1, 2)
-select b.cluster_id, coalesce(string_agg(o.name, ' | ' order by at), '') as variants from base b left join other o using (cluster_id) group by 1""",
+other as (select n.cluster_id, n.name, min(n.row_id) as nth from named n join base b using (cluster_id) join named bn on bn.row_id = b.base_row where n.name <> '' and n.name <> bn.name group by 1, 2)
+select b.cluster_id, coalesce(string_agg(o.name, ' | ' order by nth), '') as variants from base b left join other o using (cluster_id) group by 1""",
     "phone_union": f"""with recursive {_CLUSTERS},
 r as (select m.cluster_id, u.*, row_number() over (partition by m.cluster_id, u.key order by u.row_id, u.ord) as rn from usable u join members m using (row_id))
 select cluster_id, row_id, ord, case when {_trim('label')} = '' then 'Mobile' else {_trim('label')} end as label, {_SHOWN} as value from r where rn = 1""",

@@ -80,8 +80,8 @@ def phone_explode(spark, d):
 
 @query
 def phone_tokens_split(spark, d):
-    r = table(spark, d, "contact_rows").select("row_id", F.posexplode(phone_tokens(F.col("phone_1_value"))).alias("at", "token"))
-    return r.select("row_id", F.col("at").cast("long").alias("at"), "token")
+    r = table(spark, d, "contact_rows").select("row_id", F.posexplode(phone_tokens(F.col("phone_1_value"))).alias("nth", "token"))
+    return r.select("row_id", F.col("nth").cast("long").alias("nth"), "token")
 
 
 @query
