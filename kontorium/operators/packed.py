@@ -38,9 +38,14 @@ NOTES = Rule("c;|n", "D", True)
 
 _BLANKS = r"[\s\p{Z}\x{85}\x1C-\x1F&&[^\r\n]]+"
 _FREE_BULLETS, _DASH_BULLETS = "•‣◦▪●·", "*–-"
-_SPECIAL = r'\s\p{Z}\x{85}\x1C-\x1F";|,/•‣◦▪●·*–\-:'
-_PLAIN = rf"(?:[^{_SPECIAL}]|:(?!::))"
-_TOKEN = rf"(?s):::|//|\r\n|{_BLANKS}|{_PLAIN}+(?: +{_PLAIN}+)*|."
+
+
+def _token_pattern(rule: Rule) -> str:
+    """One token of a cell. Ordinary text runs on over blanks and dashes, and over slashes without blanks
+    beside them, since these mean something only at the start of a value or between blanks."""
+    comma = "," if "," in rule.separators else ""
+    plain = rf'(?:[^\s\p{{Z}}\x{{85}}\x1C-\x1F";|/•‣◦▪●·*–\-:{comma}]|:(?!::))'
+    return rf"(?s):::|//|\r\n|{_BLANKS}|{plain}+(?:(?:[ \-–]+|/+){plain}+)*|."
 
 
 def _letter(t: Column) -> Column:
@@ -102,42 +107,39 @@ def _resolver(rules: dict[str, Rule]):
                 [{"start": s, "len": n, "quoted": q} for s, n, q in resolve_skeleton(rules[f], k)]
                 for f, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(value))], ["r_field", "r_skeleton", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(value))], ["r_field", "r_skeleton", "rule"])
 
     return run
 
 
-def _may_split(field: Column, cell: Column, rules: dict[str, Rule]) -> Column:
-    """False only where no separator of the field's rule occurs, so that there is one value at most."""
+def _cell(field: str, rule: Rule, least: int) -> Column:
+    """The field's name and tokens; null where the cell is null or, without a separator, has too few values."""
     look = {"c": ":::", ";": ";", "|": r"\|", "n": r"[\r\n]", ",": ",", "/": "/", "D": "//"}
-    hit = F.lit(False)
-    for name, r in rules.items():
-        hit = hit | ((field == name) & cell.rlike("|".join(look[x] for x in r.separators + r.spaced)))
-    return hit
+    wanted = F.col(field).isNotNull()
+    if least > 1:
+        wanted = wanted & F.col(field).rlike("|".join(look[x] for x in rule.separators + rule.spaced))
+    tokens = F.regexp_extract_all(F.col(field), F.lit(_token_pattern(rule)), F.lit(0))
+    return F.when(wanted, F.struct(F.lit(field).alias("field"), tokens.alias("tokens")))
 
 
-def split_packed(
-    df: DataFrame, key: str, rules: dict[str, Rule], least: int = 1, broadcast_bytes: int = BROADCAST_BYTES
+def packed_values(
+    df: DataFrame, key: str, rules: dict[str, Rule], least: int = 1, keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``key, field_name, item_pos, item_value``: the values of each cell with at least ``least`` of them.
+    """``key, field_name, values`` (and the columns to ``keep``): the values of each cell as an array.
 
-    Double quotes around a whole value protect what is inside, where a doubled quote is one quote; the
-    inside is left as it is. Other values lose white space around them and, by rule, bullets before
-    them. Empty values are dropped and positions count from 1 over the rest. Null, empty and blank
-    cells give nothing; a quote that never closes is ordinary text.
+    Cells with fewer than ``least`` values are left out; null cells always. See ``split_packed``.
     """
+    keep = keep or []
     cells = df.select(
-        F.col(key).alias("_key"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in rules])).alias("x"),
-    ).select("_key", "x.*").filter(F.col("cell").isNotNull())
-    if least > 1:
-        cells = cells.filter(_may_split(F.col("field"), F.col("cell"), rules))
-    tokens = cells.select("_key", "field", F.regexp_extract_all("cell", F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+        F.col(key).alias("_key"), *keep,
+        F.explode(F.array_compact(F.array(*[_cell(f, r, least) for f, r in rules.items()]))).alias("x"),
+    )
+    tokens = cells.select("_key", *keep, "x.*")
     shaped = tokens.withColumn("skeleton", F.array_join(F.transform("tokens", _letter), ""))
     distinct = shaped.select("field", "skeleton").distinct()
-    resolved = cut(distinct.mapInArrow(_resolver(rules), "r_field string, r_skeleton string, values array<struct<start: int, len: int, quoted: boolean>>"), "rules")
-    resolved = resolved.filter(F.size("values") >= least)
-    size = resolved.agg(F.sum(F.length("r_skeleton") + 16 * F.size("values"))).first()[0] or 0
+    resolved = cut(distinct.mapInArrow(_resolver(rules), "r_field string, r_skeleton string, rule array<struct<start: int, len: int, quoted: boolean>>"), "rules")
+    resolved = resolved.filter(F.size("rule") >= least)
+    size = resolved.agg(F.sum(F.length("r_skeleton") + 16 * F.size("rule"))).first()[0] or 0
     on = (F.col("field") == F.col("r_field")) & (F.col("skeleton") == F.col("r_skeleton"))
     if size <= broadcast_bytes:
         joined = shaped.join(F.broadcast(resolved), on)
@@ -149,5 +151,19 @@ def split_packed(
         raw = F.array_join(F.slice("tokens", v["start"] + 1, v["len"]), "")
         return F.when(v["quoted"], F.replace(raw, F.lit('""'), F.lit('"'))).otherwise(raw)
 
-    out = joined.select("_key", "field", F.posexplode(F.transform("values", text)).alias("at", "item_value"))
-    return out.select(F.col("_key").alias(key), F.col("field").alias("field_name"), (F.col("at") + 1).alias("item_pos"), "item_value")
+    return joined.select(F.col("_key").alias(key), *keep, F.col("field").alias("field_name"), F.transform("rule", text).alias("values"))
+
+
+def split_packed(
+    df: DataFrame, key: str, rules: dict[str, Rule], least: int = 1, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``key, field_name, item_pos, item_value``: the values of each cell with at least ``least`` of them.
+
+    Double quotes around a whole value protect what is inside, where a doubled quote is one quote; the
+    inside is left as it is. Other values lose white space around them and, by rule, bullets before
+    them. Empty values are dropped and positions count from 1 over the rest. Null, empty and blank
+    cells give nothing; a quote that never closes is ordinary text.
+    """
+    out = packed_values(df, key, rules, least, None, broadcast_bytes)
+    out = out.select(key, "field_name", F.posexplode("values").alias("at", "item_value"))
+    return out.select(key, "field_name", (F.col("at") + 1).alias("item_pos"), "item_value")
