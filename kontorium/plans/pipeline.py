@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from ..operators.clusters import capped_clusters
 from ..operators.contacts import ContactTable, without_spam
 from ..operators.merge import Merged, merged_contacts, output_columns, slot_widths, stats
-from ..session import cut
+from ..session import cut, ship
 from ..sources.exports import list_exports, read_contacts
 from ..sources.sink import clear_outputs, output_name, write_csv
 
@@ -42,6 +42,7 @@ def run(spark: SparkSession, input_dir: str, output_dir: str, clock: Callable[[]
     """
     if os.path.realpath(input_dir) == os.path.realpath(output_dir):
         raise ValueError("the output folder is the input folder")
+    ship(spark)
     clear_outputs(output_dir)
     if not os.path.isdir(input_dir):
         return RunReport(None, message=f"no input folder: {input_dir}")

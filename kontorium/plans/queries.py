@@ -19,7 +19,7 @@ from ..operators.components import components
 from ..operators.keycounts import counts_per_key
 from ..operators.packed import LABELS, NOTES, split_packed
 from ..operators.rawfiles import load_raw, path_types, path_values, rejects, schema_changes, typed_table
-from ..session import cut, shared_folder
+from ..session import cut, shared_folder, ship
 from ..sources.exports import header_union, read_contacts, read_records
 from .pipeline import resolve
 
@@ -33,6 +33,7 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_FOLDERS: dict[int, str] = {}
+_OWN_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _OWN_FOLDERS:
         _OWN_FOLDERS[key] = tempfile.mkdtemp(prefix="kontorium-")
         atexit.register(_remove_local, _OWN_FOLDERS[key])
@@ -44,6 +47,25 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application, so they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kontorium-code-")  # on the driver, which serves it to the executors
+    atexit.register(_remove_local, folder)
+    path = os.path.join(folder, "kontorium.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
