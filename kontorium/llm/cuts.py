@@ -22,8 +22,6 @@ RESIDUE = "…�<[({"
 ABBREVIATIONS = ["fig", "figs", "abb", "no", "nr", "nos", "vgl", "bzw", "ca", "approx", "e.g", "i.e", "z.b", "d.h", "cf", "p.ej", "resp", "incl"]
 #: Texts of one length, at the top of a source's lengths, that make a limit, if half of them end broken.
 LEAST_AT_LIMIT = 2
-#: Bytes that the character after a byte limit may need, less one.
-CHAR_SLACK = 3
 
 _END = re.compile(r"[.!?][\"'’”»)\]]*$")
 _FENCE = re.compile(r"([-=*_#~])\1+.*\1\1+")
@@ -98,14 +96,15 @@ def source_limits(judged: DataFrame) -> DataFrame:
     """``source, char_limit, byte_limit``: where a source cuts, null where it shows no limit.
 
     A limit is the top length of a source if at least ``LEAST_AT_LIMIT`` texts have it and half of these
-    or more end broken. A byte limit may leave up to ``CHAR_SLACK`` bytes unused before a wide character.
+    or more end broken. Before a wide character a byte limit leaves some bytes unused; such a text ends
+    inside a word or sentence and needs no limit to be found.
     """
     top = judged.groupBy("source").agg(F.max("chars").alias("c"), F.max("bytes").alias("b"))
     top = top.select(F.col("source").alias("s"), "c", "b")
     # as many rows as sources; the join keeps the hot ones apart by pre-aggregation on length
     lengths = judged.groupBy("source", "chars", "bytes").agg(F.count("*").alias("n"), F.count_if("broken").alias("k"))
     near = lengths.join(top, F.col("source").eqNullSafe(F.col("s")))
-    at_c, at_b = F.col("chars") == F.col("c"), F.col("bytes") >= F.col("b") - CHAR_SLACK
+    at_c, at_b = F.col("chars") == F.col("c"), F.col("bytes") == F.col("b")
     sums = near.groupBy("source").agg(
         F.max("c").alias("c"), F.max("b").alias("b"),
         F.sum(F.when(at_c, F.col("n")).otherwise(0)).alias("nc"), F.sum(F.when(at_c, F.col("k")).otherwise(0)).alias("kc"),
@@ -183,9 +182,15 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.bool_()])], ["part", "longer_id", "inside"])
 
 
+# The white space that may stand at the end of a text.
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def bare_text(c: Column) -> Column:
     """A text without white space and the marks of a broken transfer at its end."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?:[\s\p{Z}…\x{FFFD}<\[({]|\.\.\.)+$", "")
+    marks = F.lit(_SPACE + RESIDUE)
+    t = F.rtrim(F.coalesce(c, F.lit("")), marks)
+    return F.when(t.endswith("..."), F.rtrim(F.rtrim(t, F.lit(".")), marks)).otherwise(t)
 
 
 def longer_copies(docs: DataFrame) -> DataFrame:
