@@ -80,7 +80,7 @@ def build_shard(ids: np.ndarray, texts: pa.Array, vocabulary: pa.Array) -> tuple
     order = np.argsort(term, kind="stable")  # places stay sorted within a term
     term, place = term[order], place[order]
     terms, first = np.unique(term, return_index=True)
-    return ids, terms, np.append(first[1:], len(term)).astype(np.int64), place
+    return ids, terms, np.append(first, len(term))[1:].astype(np.int64), place
 
 
 def _build(vocabulary: pa.Array):
@@ -90,7 +90,6 @@ def _build(vocabulary: pa.Array):
             for lo, hi in _shards(b.column(1)):
                 shard = build_shard(ids[lo:hi], b.column(1).slice(lo, hi - lo), vocabulary)
                 docs, terms, ends, places = (x.astype(np.int64) for x in shard)
-                # places as differences of 4 bytes within a term where they fit, which packs well
                 cols = [docs.tobytes(), terms.astype(np.int32).tobytes(), ends.tobytes(), _pack_places(places)]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["docs", "terms", "ends", "places"])
 
