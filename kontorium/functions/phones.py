@@ -10,7 +10,7 @@ from .text import jtrim
 PHONE_FIELDS = ["raw", "cleaned_display", "canonical_key", "key_type", "country", "category", "confidence", "warning"]
 
 # The no-break space and the dashes that cleaning folds, and what they become.
-FOLD_FROM = " ‐‑‒–—"
+FOLD_FROM = "\u00a0\u2010\u2011\u2012\u2013\u2014"
 FOLD_TO = " -----"
 
 

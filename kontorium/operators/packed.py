@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: Skeleton text up to this measured size is broadcast; beyond it rules are joined by shuffle, salted.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
 

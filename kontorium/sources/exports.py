@@ -38,9 +38,6 @@ def tokenize(chunks: Iterable[str]) -> Iterator[list[str]]:
     for chunk in chunks:
         text, held = held + chunk, ""
         at = 0
-        if quoted and text.endswith('"'):  # whether it is doubled shows in the next chunk
-            run = len(text) - len(text.rstrip('"'))
-            text, held = text[: len(text) - run], '"' * run
         while at < len(text):
             if quoted:
                 end = text.find('"', at)
@@ -48,6 +45,9 @@ def tokenize(chunks: Iterable[str]) -> Iterator[list[str]]:
                     cell.append(text[at:])
                     break
                 cell.append(text[at:end])
+                if end == len(text) - 1:  # whether it is doubled shows in the next chunk
+                    held = '"'
+                    break
                 if text.startswith('""', end):
                     cell.append('"')
                     at = end + 2
@@ -68,12 +68,6 @@ def tokenize(chunks: Iterable[str]) -> Iterator[list[str]]:
             elif m[0] == "\n":
                 yield [*cells, "".join(cell)]
                 cells, cell = [], []
-    for ch in held:  # quotes at the very end of a text that is in quotes
-        if quoted:
-            quoted = False
-        else:
-            cell.append('"')
-            quoted = True
     rest = "".join(cell)
     if rest or cells:
         yield [*cells, rest]
@@ -88,7 +82,7 @@ def read_text(path: str) -> Iterator[str]:
             raw = f.read(_CHUNK)
             text = decode(raw, final=not raw)
             if first and text:
-                text, first = text.removeprefix("﻿"), False
+                text, first = text.removeprefix("\ufeff"), False
             if text:
                 yield text
             if not raw:

@@ -29,7 +29,7 @@ MAX_ALIASES = 100_000
 _CELL = r'(?:[^",]*|"(?:[^"]|"")*")'
 #: Cells apart by commas; quotes only around a whole cell, or doubled inside such a cell.
 WELL_QUOTED = rf"^{_CELL}(?:,{_CELL})*$"
-_HEADER_NOISE = re.compile(r"[\s_\- ﻿]+")
+_HEADER_NOISE = re.compile(r"[\s_\-\u00a0\ufeff]+")
 
 
 def header_key(name: str) -> str:
@@ -49,7 +49,7 @@ def parse_header(line: str | None) -> list[str]:
     """The cells of a header record, without a byte order mark and outer blanks; null gives none."""
     if line is None:
         return []
-    line = line.removeprefix("﻿")
+    line = line.removeprefix("\ufeff")
     return [c.strip() for c in next(csv.reader(io.StringIO(line), strict=False), [""])]
 
 
