@@ -72,20 +72,23 @@ def strip_accents(c: Column) -> Column:
     Null gives null. Hangul syllables come out as their letters, as decomposition has them.
     """
     src, dst = _accent_table()
-    bare = F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
-    has_accents = c.rlike(r"[^\x00-\x7F]")
-    return F.when(~has_accents, c).when(bare.rlike("[가-힣]"), _split_hangul(bare)).otherwise(bare)
+    # plain text, by far the most, is given back as it is
+    return (
+        F.when(~c.rlike(r"[^\x00-\x7F]"), c)
+        .when(c.rlike("[가-힣]"), F.regexp_replace(F.translate(_split_hangul(c), src, dst), r"\p{M}+", ""))
+        .otherwise(F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", ""))
+    )
 
 
-def dedupe_name_tokens(parts: Column) -> Column:
+def dedupe_name_tokens(parts: Column, stripped: bool = False) -> Column:
     """Of an array of name parts, keep the first writing of each word over all parts.
 
-    Words are runs of letters, digits and apostrophes without accents, compared in lower case. Parts
+    ``stripped`` says that the parts have no accents any more. Words are runs of letters, digits and apostrophes without accents, compared in lower case. Parts
     that keep no word drop out. Null parts count as empty; a null array gives null.
     """
-    stripped = F.transform(parts, lambda p: strip_accents(F.coalesce(p, F.lit(""))))
+    filled = F.transform(parts, lambda p: F.coalesce(p, F.lit("")))
     words = F.transform(
-        stripped,
+        filled if stripped else F.transform(filled, strip_accents),
         lambda p, i: F.transform(
             F.regexp_extract_all(p, F.lit(NAME_TOKEN), F.lit(0)),
             lambda w: F.struct(i.alias("part"), w.alias("word"), F.lower(w).alias("low")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phones import identity_key, render_phone
 from ..functions.text import dedupe_name_tokens, jtrim, non_blank, strip_accents
+from ..session import cut
 from .contacts import SLOT, ContactTable, explode_phones, identity_score
 from .ordered import number_within
 
@@ -138,7 +139,7 @@ def merged_contacts(t: ContactTable, members: DataFrame, phone_slots: int = PHON
         parts = [jtrim(F.col(f"s{at[h]}")) for h in NAME_ORDER if h in at]
         shown = F.filter(F.array(*parts), lambda p: p != "")
         variants = F.filter(F.transform("variants", jtrim), lambda v: v != "")
-        cells[at["First Name"]] = F.array_join(dedupe_name_tokens(F.concat(shown, variants)), " - ")
+        cells[at["First Name"]] = F.array_join(dedupe_name_tokens(F.concat(shown, variants), stripped=True), " - ")
         for h in NAME_ORDER:
             if h in at and h != "First Name":
                 cells[at[h]] = F.lit("")
@@ -165,7 +166,7 @@ def numbered_names(df: DataFrame, name: str, order: str) -> DataFrame:
     Empty names stay empty and are not counted. A segment that most names share is counted over range
     partitions, not in one task.
     """
-    keyed = df.withColumn("_key", display_key(F.col(name)))
+    keyed = cut(df.withColumn("_key", display_key(F.col(name))), "named")
     n = number_within(keyed.filter("_key != ''").select("_key", order), ["_key"], [order], "_n").select(order, "_n")
     base = jtrim(strip_accents(F.coalesce(F.col(name), F.lit(""))))
     new = F.when(F.col("_n") > 1, F.concat(base, F.lit(" "), F.col("_n").cast("string"))).otherwise(F.col(name))

@@ -17,6 +17,8 @@ from ..operators.contacts import ContactTable
 
 _MARK = re.compile('[",\r\n]')
 _CHUNK = 1 << 20
+#: Bytes of small files that one task reads, and what opening a file is taken to cost.
+_PARTITION_BYTES, _OPEN_BYTES = 16 << 20, 256 << 10
 
 
 def list_exports(folder: str) -> list[str]:
@@ -94,9 +96,9 @@ def read_csv(path: str) -> list[list[str]]:
     return list(tokenize(read_text(path)))
 
 
-class _File(InputPartition):
-    def __init__(self, rank: int, path: str) -> None:
-        self.rank, self.path = rank, path
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[int, str]]) -> None:
+        self.files = files
 
 
 class _Reader(DataSourceReader):
@@ -106,7 +108,17 @@ class _Reader(DataSourceReader):
         self.heads_only = options.get("headsonly", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(list_exports(self.folder))]
+        """Neighbouring files together up to ``_PARTITION_BYTES``; opening one counts as reading some."""
+        parts: list[list[tuple[int, str]]] = []
+        room = 0
+        for i, p in enumerate(list_exports(self.folder)):
+            cost = _OPEN_BYTES + (0 if self.heads_only else os.path.getsize(p))
+            if not parts or cost > room:
+                parts.append([])
+                room = _PARTITION_BYTES
+            parts[-1].append((i, p))
+            room -= cost
+        return [_Files(x) for x in parts]
 
     def _records(self, path: str) -> Iterator[list[str]]:
         for i, r in enumerate(tokenize(read_text(path))):
@@ -114,8 +126,12 @@ class _Reader(DataSourceReader):
             if self.heads_only:
                 return
 
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        name = os.path.basename(part.path)
+    def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        for rank, path in part.files:
+            yield from self._read_file(rank, path)
+
+    def _read_file(self, rank: int, path: str) -> Iterator[pa.RecordBatch]:
+        name = os.path.basename(path)
         place: list[int] | None = None
         rows: list[tuple[int, list[str]]] = []
         width = len(self.header) if self.header is not None else 0
@@ -123,13 +139,13 @@ class _Reader(DataSourceReader):
 
         def batch() -> pa.RecordBatch:
             n = len(rows)
-            fixed = [pa.array([part.rank] * n, pa.int32()), pa.array([name] * n), pa.array([r for r, _ in rows], pa.int32())]
+            fixed = [pa.array([rank] * n, pa.int32()), pa.array([name] * n), pa.array([r for r, _ in rows], pa.int32())]
             if self.header is None:
                 return pa.RecordBatch.from_arrays([*fixed, pa.array([c for _, c in rows], pa.list_(pa.string()))], ["file_rank", "source_file", "record_ord", "cells"])
             cells = [pa.array([c[i] for _, c in rows], pa.string()) for i in range(width)]
             return pa.RecordBatch.from_arrays([*fixed, *cells], ["file_rank", "source_file", "record_ord", *(f"c{i}" for i in range(width))])
 
-        for ord_, cells in enumerate(self._records(part.path), 1):
+        for ord_, cells in enumerate(self._records(path), 1):
             if self.header is None:
                 rows.append((ord_, cells))
             elif place is None:
@@ -147,7 +163,7 @@ class _Reader(DataSourceReader):
 
 
 class ContactExports(DataSource):
-    """``contact_exports``: the records of a folder's exports, one partition per file.
+    """``contact_exports``: the records of a folder's exports; a file is read by one task, small ones together.
 
     Options: ``path``; ``headsOnly`` reads only each first record; ``header`` (a JSON list) aligns the
     records after the first to these columns: the last of a repeated name wins, missing cells are ''
