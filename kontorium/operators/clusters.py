@@ -8,6 +8,10 @@ exactly into independent parts:
    their clusters hold all those rows. This also takes the hot keys out of every join that follows.
 2. Over the other keys (at most ``cap`` rows each) connected components are independent of each other.
 3. Within a component the keys are replayed in order, as a stream sorted by component and key.
+4. Components too large for one task are replayed by all of them, in rounds. Cluster sizes only grow, so
+   a key whose clusters hold more than ``cap`` rows now will be refused in its turn and can go at once. A
+   key that is the earliest of those pending at every cluster it touches cannot be affected by any key
+   before it, so all such keys take their turn together.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from .components import LOCAL_EDGES, components
 from .contacts import ContactTable, key_index, phone_occurrences, without_spam
 
 CLUSTER_CAP = 10
+#: Rows of a component, or links still pending after some rounds, that one task replays alone.
+REPLAY_ROWS = 200_000
+MAX_ROUNDS = 1000
 
-_EVENT_SCHEMA = "kind string, row_id long, cluster long, size int, key string, n_occ long, total long"
+_EVENT_SCHEMA = "kind string, node long, cluster long, size int, key string, n_occ long, total long"
 
 
 @dataclass(frozen=True)
@@ -46,37 +53,40 @@ def key_order(key: Column) -> Column:
 
 
 class _Replay:
-    """Union-find of one component under the cap; the smallest row is each cluster's name."""
+    """Union-find of one component under the cap; nodes are rows, or clusters of several rows."""
 
     def __init__(self, cap: int) -> None:
         self.cap = cap
         self.root: dict[int, int] = {}
-        self.rows: dict[int, list[int]] = {}
-
-    def key(self, rows: list[int]) -> tuple[int, list[tuple[int, int, int]]]:
-        """Would-be total of a key (0: nothing to join), and (row, cluster, size) of rows that moved."""
-        for r in rows:
-            if r not in self.root:
-                self.root[r] = r
-                self.rows[r] = [r]
-        roots = list(dict.fromkeys(self.root[r] for r in rows))
+        self.nodes: dict[int, list[int]] = {}
+        self.size: dict[int, int] = {}
+
+    def key(self, nodes: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+        """Would-be total of a key's (node, rows), 0 where there is nothing to join; (node, cluster, size) of nodes that moved."""
+        for v, weight in nodes:
+            if v not in self.root:
+                self.root[v], self.nodes[v], self.size[v] = v, [v], weight
+        roots = list(dict.fromkeys(self.root[v] for v, _ in nodes))
         if len(roots) < 2:
             return 0, []
-        total = sum(len(self.rows[r]) for r in roots)
+        total = sum(self.size[r] for r in roots)
         if total > self.cap:
             return total, []
         name, merged = min(roots), []
         for r in roots:
-            merged += self.rows.pop(r)
-        self.rows[name] = merged
-        for r in merged:
-            self.root[r] = name
-        return total, [(r, name, total) for r in merged]
+            merged += self.nodes.pop(r)
+            del self.size[r]
+        self.nodes[name], self.size[name] = merged, total
+        for v in merged:
+            self.root[v] = name
+        return total, [(v, name, total) for v in merged]
 
 
 def _replay(cap: int):
+    """Replay of rows (root, n_occ, key, node, weight), sorted by component and key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {k: [] for k in ("kind", "row_id", "cluster", "size", "key", "n_occ", "total")}
+        out: dict[str, list] = {k: [] for k in ("kind", "node", "cluster", "size", "key", "n_occ", "total")}
 
         def emit(*values) -> None:
             for k, v in zip(out, values):
@@ -90,27 +100,26 @@ def _replay(cap: int):
             return batch
 
         part, group, state = None, None, _Replay(cap)
-        rows: list[int] = []
+        nodes: list[tuple[int, int]] = []
 
         def close() -> None:
             if group is None:
                 return
             key, n_occ = group
-            total, moved = state.key(rows)
+            total, moved = state.key(nodes)
             if total > cap:
                 emit("refused", None, None, None, key, n_occ, total)
-            for r, name, size in moved:
-                emit("moved", r, name, size, key, n_occ, None)
+            for v, name, size in moved:
+                emit("moved", v, name, size, key, n_occ, None)
 
         for b in batches:
-            comp, n_occ, key, row = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("root", "n_occ", "key", "row_id"))
-            for c, n, k, r in zip(comp, n_occ, key, row):
+            for c, n, k, v, w in zip(*(x.to_pylist() for x in b.columns)):
                 if c != part or (k, n) != group:
                     close()
                     if c != part:
                         part, state = c, _Replay(cap)
-                    group, rows = (k, n), []
-                rows.append(r)
+                    group, nodes = (k, n), []
+                nodes.append((v, w))
             if len(out["kind"]) > 20_000:
                 yield flush()
         close()
@@ -119,29 +128,92 @@ def _replay(cap: int):
     return run
 
 
-def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int = LOCAL_EDGES) -> Clusters:
+def _stream(links: DataFrame, cap: int) -> DataFrame:
+    """Events of links (root, n_occ, key, node, weight), each component in one task as a sorted stream."""
+    at = key_order(F.col("key"))
+    ordered = links.withColumn("at", at).repartition("root").sortWithinPartitions("root", "n_occ", "at", "node")
+    return ordered.select("root", "n_occ", "key", "node", "weight").mapInArrow(_replay(cap), _EVENT_SCHEMA)
+
+
+def _in_rounds(links: DataFrame, cap: int, alone: int) -> list[DataFrame]:
+    """Events of links (n_occ, key, row_id) replayed by rounds of keys that cannot affect each other.
+
+    A key has at most ``cap`` rows, so every array here is as short. Once at most ``alone`` links are
+    pending one task replays the rest, on clusters instead of rows.
+    """
+    state = cut(links.select("row_id", F.col("row_id").alias("cluster"), F.lit(1).alias("size")).distinct(), "state")
+    pending, events = links.select("n_occ", "key", "row_id"), []
+    cluster = F.struct("cluster", "size")
+    for _ in range(MAX_ROUNDS):
+        keys = pending.join(state, "row_id").groupBy("n_occ", "key").agg(F.collect_set(cluster).alias("cs"), F.collect_list("row_id").alias("rs"))
+        total = F.aggregate("cs", F.lit(0), lambda x, c: x + c["size"])
+        keys = cut(keys.filter(F.size("cs") > 1).withColumn("total", total), "pending")
+        events.append(
+            keys.filter(F.col("total") > cap).select(
+                F.lit("refused").alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("cluster"),
+                F.lit(None).cast("int").alias("size"), "key", "n_occ", F.lit(None).cast("long").alias("total"),
+            )
+        )
+        live = keys.filter(F.col("total") <= cap)
+        left = live.agg(F.sum(F.size("cs"))).first()[0] or 0
+        if left <= alone:
+            flat = live.select(F.lit(0).cast("long").alias("root"), "n_occ", "key", F.explode("cs").alias("c"))
+            rest = cut(_stream(flat.select("root", "n_occ", "key", F.col("c.cluster").alias("node"), F.col("c.size").alias("weight")), cap), "events")
+            moved = rest.filter("kind = 'moved'").select(F.col("node").alias("c"), F.col("cluster").alias("to"), F.col("size").alias("grown"), "key", "n_occ")
+            rows = state.join(moved, F.col("cluster") == F.col("c"))
+            events += [rest.filter("kind = 'refused'"), _row_moves(rows)]
+            return events
+        turn = F.struct("n_occ", key_order(F.col("key")).alias("at"))
+        touch = live.select("n_occ", "key", turn.alias("turn"), F.explode("cs.cluster").alias("cluster"))
+        first = touch.groupBy("cluster").agg(F.min("turn").alias("first"))
+        ready = touch.join(first, "cluster").groupBy("n_occ", "key").agg(F.min(F.col("turn") == F.col("first")).alias("ready"))
+        marked = cut(live.join(ready, ["n_occ", "key"]), "marked")
+        moves = marked.filter("ready").select(
+            "key", "n_occ", F.explode("cs.cluster").alias("c"), F.array_min("cs.cluster").alias("to"), F.col("total").cast("int").alias("grown")
+        )
+        rows = cut(state.join(moves, F.col("cluster") == F.col("c"), "left"), "state")
+        events.append(_row_moves(rows.filter("c IS NOT NULL")))
+        state = rows.select("row_id", F.coalesce("to", "cluster").alias("cluster"), F.coalesce("grown", "size").alias("size"))
+        pending = marked.filter("NOT ready").select("n_occ", "key", F.explode("rs").alias("row_id"))
+    raise RuntimeError(f"keys were still pending after {MAX_ROUNDS} rounds")
+
+
+def _row_moves(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.lit("moved").alias("kind"), F.col("row_id").alias("node"), F.col("to").alias("cluster"), F.col("grown").alias("size"), "key", "n_occ",
+        F.lit(None).cast("long").alias("total"),
+    )
+
+
+def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int = LOCAL_EDGES, replay_rows: int = REPLAY_ROWS) -> Clusters:
     """Cluster rows by shared phone under ``cap``; see the module text.
 
     Rows without phones are clusters of one; blocklisted rows take no part. Empty tables give empty
-    results. A component is replayed as one sorted stream, which holds its rows' union-find only.
+    results. A component of at most ``replay_rows`` rows is replayed as one sorted stream, a larger one
+    in rounds.
     """
     occ = cut(phone_occurrences(t), "occ")
     index = cut(key_index(occ).filter("n_rows >= 2"), "keys")
     usable = index.filter(F.col("n_rows") <= cap).select("key", "n_occ", "first_row")
     links = cut(occ.select("key", "row_id").distinct().join(usable, "key"), "links")
     comp = components(links.select("first_row", "row_id"), "first_row", "row_id", local_edges)
-    stream = (
-        links.join(comp, links.row_id == comp.v).select("root", "n_occ", key_order(F.col("key")).alias("at"), "key", "row_id")
-        .repartition("root").sortWithinPartitions("root", "n_occ", "at", "row_id")
-    )
-    events = cut(stream.select("root", "n_occ", "key", "row_id").mapInArrow(_replay(cap), _EVENT_SCHEMA), "events")
-    moved = events.filter("kind = 'moved'")
+    placed = cut(links.join(comp, links.row_id == comp.v).select("root", "n_occ", "key", "row_id"), "placed")
+    large = placed.select("root", "row_id").distinct().groupBy("root").count().filter(F.col("count") > replay_rows).select("root")
+    large = F.broadcast(cut(large, "large"))  # at most one row per ``replay_rows`` rows
+    small = placed.join(large, "root", "left_anti").select("root", "n_occ", "key", F.col("row_id").alias("node"), F.lit(1).alias("weight"))
+    events = cut(_stream(small, cap), "events")
+    if not large.isEmpty():
+        for e in _in_rounds(placed.join(large, "root", "left_semi"), cap, replay_rows):
+            events = events.unionByName(e)
+    moved = events.filter("kind = 'moved'").withColumnRenamed("node", "row_id")
     final = moved.groupBy("row_id").agg(F.min("cluster").alias("cluster"))
     rows = without_spam(t).df.select("row_id")
     members = rows.join(final, "row_id", "left").select("row_id", F.coalesce("cluster", "row_id").alias("cluster_id"))
 
-    # A hub key's total counts the clusters as they stood when its turn came.
+    # The total of a key refused ahead of its turn counts the clusters as they stood when that came.
+    refused = events.filter("kind = 'refused'").select("key", F.col("n_occ").alias("occurrences"), "total")
     hubs = index.filter(F.col("n_rows") > cap).select("key", F.col("n_occ").alias("occurrences"))
+    hubs = hubs.union(refused.filter("total IS NULL").select("key", "occurrences"))
     at = lambda n, k: F.struct(F.col(n).alias("n"), key_order(F.col(k)).alias("k"))
     hub_rows = occ.select("key", "row_id").distinct().join(hubs, "key")
     past = moved.select(F.col("row_id").alias("r"), "cluster", "size", at("n_occ", "key").alias("at"))
@@ -154,8 +226,7 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
         .distinct()
     )
     hub_totals = stood.groupBy("key", "occurrences").agg(F.sum("size").alias("total"))
-    refused = events.filter("kind = 'refused'").select("key", F.col("n_occ").alias("occurrences"), "total")
-    conflicts = refused.union(hub_totals)
+    conflicts = refused.filter("total IS NOT NULL").union(hub_totals)
     where = t.df.select("row_id", "source_file", "source_row")
     conflict_rows = (
         occ.join(conflicts.select("key"), "key", "left_semi").join(where, "row_id")

@@ -42,8 +42,8 @@ def number(n):
     return str(5500000000 + n)
 
 
-def check(spark, phones):
-    c = capped_clusters(table(spark, phones))
+def check(spark, phones, **kw):
+    c = capped_clusters(table(spark, phones), **kw)
     members, refused = model(phones)
     assert rows(c.members) == sorted(members, key=repr)
     assert rows(c.conflicts) == sorted(refused, key=repr)
@@ -85,6 +85,15 @@ def test_against_model(spark, seed):
     check(spark, phones)
 
 
+@pytest.mark.parametrize("alone", [0, 12])
+@pytest.mark.parametrize("seed", range(4))
+def test_large_components_in_rounds(spark, seed, alone):
+    r = random.Random(100 + seed)
+    keys = r.choice([25, 60])
+    phones = [" ::: ".join(number(int(keys * r.random() ** 1.5)) for _ in range(r.choice([1, 2, 2, 3]))) for _ in range(r.choice([30, 80]))]
+    check(spark, phones, replay_rows=alone)
+
+
 def brute(edges):
     root = {}
 
