@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, shuffle_width
@@ -20,8 +20,8 @@ from ..session import cut, shuffle_width
 # Marks that a broken transfer leaves, and abbreviations whose point ends no sentence.
 RESIDUE = "…�<[({"
 ABBREVIATIONS = ["fig", "figs", "abb", "no", "nr", "nos", "vgl", "bzw", "ca", "approx", "e.g", "i.e", "z.b", "d.h", "cf", "p.ej", "resp", "incl"]
-#: Texts of one length, at the top of a source's lengths, that make a limit, if half of them end broken.
-LEAST_AT_LIMIT = 2
+#: Texts of one length that can make a source's limit.
+LEAST_AT_LIMIT = 3
 
 _END = re.compile(r"[.!?][\"'’”»)\]]*$")
 _FENCE = re.compile(r"([-=*_#~])\1+.*\1\1+")
@@ -92,32 +92,36 @@ def judged_endings(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_judge, "doc_id long, source string, chars long, bytes long, broken boolean")
 
 
+def _pile(judged: DataFrame, length: str) -> DataFrame:
+    """``s, limit, held``: per source the greatest length at which texts pile up, and how many have it.
+
+    At least ``LEAST_AT_LIMIT`` texts have it, two thirds of them or more end broken, and at most half
+    as many are longer (what a transfer leaves behind may lengthen some). The window runs over the
+    different lengths of a source, counted before, not over its texts.
+    """
+    counts = judged.groupBy("source", F.col(length).alias("len")).agg(F.count("*").alias("n"), F.count_if("broken").alias("k"))
+    w = Window.partitionBy("source").orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)
+    piles = counts.withColumn("longer", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(
+        (F.col("n") >= LEAST_AT_LIMIT) & (3 * F.col("k") >= 2 * F.col("n")) & (2 * F.col("longer") <= F.col("n"))
+    )
+    top = piles.groupBy("source").agg(F.max(F.struct("len", "n")).alias("t"))
+    return top.select(F.col("source").alias("s"), F.col("t.len").alias("limit"), F.col("t.n").alias("held"))
+
+
 def source_limits(judged: DataFrame) -> DataFrame:
-    """``source, char_limit, byte_limit``: where a source cuts, null where it shows no limit.
+    """``source, char_limit, byte_limit``: where a source cuts; sources that show no limit are left out.
 
-    A limit is the top length of a source if at least ``LEAST_AT_LIMIT`` texts have it and half of these
-    or more end broken. Before a wide character a byte limit leaves some bytes unused; such a text ends
-    inside a word or sentence and needs no limit to be found.
+    Where a source's texts pile up at a number of characters and at one of bytes, the larger pile is the
+    limit. Before a wide character a byte limit leaves some bytes unused; such a text ends inside a word
+    or sentence and needs no limit to be found.
     """
-    top = judged.groupBy("source").agg(F.max("chars").alias("c"), F.max("bytes").alias("b"))
-    top = top.select(F.col("source").alias("s"), "c", "b")
-    # as many rows as sources; the join keeps the hot ones apart by pre-aggregation on length
-    lengths = judged.groupBy("source", "chars", "bytes").agg(F.count("*").alias("n"), F.count_if("broken").alias("k"))
-    near = lengths.join(top, F.col("source").eqNullSafe(F.col("s")))
-    at_c, at_b = F.col("chars") == F.col("c"), F.col("bytes") == F.col("b")
-    sums = near.groupBy("source").agg(
-        F.max("c").alias("c"), F.max("b").alias("b"),
-        F.sum(F.when(at_c, F.col("n")).otherwise(0)).alias("nc"), F.sum(F.when(at_c, F.col("k")).otherwise(0)).alias("kc"),
-        F.sum(F.when(at_b, F.col("n")).otherwise(0)).alias("nb"), F.sum(F.when(at_b, F.col("k")).otherwise(0)).alias("kb"),
-    )
-
-    def held(limit: str, n: str, k: str) -> Column:
-        return F.when((F.col(n) >= LEAST_AT_LIMIT) & (2 * F.col(k) >= F.col(n)), F.col(limit))
-
-    chars = held("c", "nc", "kc")
-    # texts of one byte a character show a character limit in bytes too; the character limit then holds
-    bytes_ = F.when(chars.isNull() | (F.col("nb") > F.col("nc")), held("b", "nb", "kb"))
-    return sums.select("source", chars.alias("char_limit"), bytes_.alias("byte_limit"))
+    chars, size = _pile(judged, "chars"), _pile(judged, "bytes")
+    both = chars.select("s", F.struct("held", F.lit(1).alias("by_chars"), "limit").alias("p")).union(
+        size.select("s", F.struct("held", F.lit(0).alias("by_chars"), "limit").alias("p"))
+    )
+    best = both.groupBy("s").agg(F.max("p").alias("p"))
+    kind = F.col("p.by_chars") == 1
+    return best.select(F.col("s").alias("source"), F.when(kind, F.col("p.limit")).alias("char_limit"), F.when(~kind, F.col("p.limit")).alias("byte_limit"))
 
 
 _PAIR = "doc_id long, longer_id long, inside boolean, part int, edge string, text string"

@@ -64,19 +64,19 @@ def test_copies_only_of_one_text_over_all_partitions(spark):
 
 def test_limits_and_reasons(spark):
     full = lambda n: "x" * (n - 1) + "."
-    data = [(i, "y" * 50, "chars") for i in range(4)] + [(4, full(50), "chars"), (5, full(49), "chars"), (6, full(30), "chars")]
+    data = [(i, "y" * 50, "chars") for i in range(4)] + [(7, "y" * 50 + "...", "chars")] + [(4, full(50), "chars"), (5, full(49), "chars"), (6, full(30), "chars")]
     data += [(10 + i, "é" * 20, "bytes") for i in range(3)] + [(13, "é" * 19 + "..", "bytes"), (14, "é" * 18 + "xyz.", "bytes"), (15, "x" * 38 + "é"[:0] + "z", "bytes")]
     data += [(20, full(90), "free"), (21, full(90), "free"), (22, "no end", "free"), (23, "Z.\n12 gea", "free")]
     data += [(30, "Signs.\n\nList\n10 sun", "list"), (31, "Signs.\n\nList\n10 sun gear", "list"), (32, None, None), (33, "cut in", None)]
     df = frame(spark, data)
     limits = {s: (c, b) for s, c, b in rows(source_limits(judged_endings(df)))}
-    assert limits["chars"][0] == 50 and limits["bytes"][1] == 40 and limits["free"] == (None, None)
+    assert limits == {"chars": (50, None), "bytes": (None, 40)}
     found = {r["doc_id"]: r for r in cut_documents(df).collect()}
-    assert set(found) == {0, 1, 2, 3, 4, 10, 11, 12, 13, 14, 15, 22, 23, 30, 33}
+    assert set(found) == {0, 1, 2, 3, 4, 7, 10, 11, 12, 13, 14, 15, 22, 23, 30, 33}
     assert found[4]["at_limit"] and not found[4]["broken"]
     assert found[30]["inside"] and found[30]["longer_id"] == 31
     shares = {r["source"]: (r["documents"], r["cut"], r["share"]) for r in cut_shares(df).collect()}
-    assert shares["chars"] == (7, 5, 5 / 7) and shares[None] == (2, 1, 0.5) and shares["list"] == (2, 1, 0.5)
+    assert shares["chars"] == (8, 6, 6 / 8) and shares[None] == (2, 1, 0.5) and shares["list"] == (2, 1, 0.5)
 
 
 def test_empty_and_long(spark):
