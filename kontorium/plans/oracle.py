@@ -13,9 +13,12 @@ _NAMES = ["first_name", "middle_name", "last_name", "name_prefix", "name_suffix"
 _SCALARS = ["first_name", "middle_name", "last_name", "name_prefix", "name_suffix", "nickname", "organization_name", "address_1_formatted", "photo"]
 _SPAM = " or ".join(f"upper(coalesce({n}, '')) like '%SPAM%'" for n in _NAMES)
 
-_TOKENS = rf"""
+_CELLS = f"""
 cells as (select row_id, 1 as slot, phone_1_value as v, phone_1_label as label, ({_SPAM}) as spam from contact_rows
-  union all select row_id, 2, phone_2_value, phone_2_label, ({_SPAM}) from contact_rows),
+  union all select row_id, 2, phone_2_value, phone_2_label, ({_SPAM}) from contact_rows),"""
+
+# The phones of the CTE ``cells`` (row_id, slot, v, label, spam).
+_PARSED = rf"""
 parts as (select row_id, slot, label, spam, unnest(string_split_regex({_trim('v')}, '\s*:::\s*')) as t,
   generate_subscripts(string_split_regex({_trim('v')}, '\s*:::\s*'), 1) as nth from cells),
 tokens as (select row_id, slot, coalesce(label, '') as label, spam, nth, {_trim('t')} as raw from parts where {_trim('t')} <> ''),
@@ -54,6 +57,8 @@ phones_ as (select row_id, slot, nth, label, spam, raw, shown as cleaned_display
     when 'PLUSSHORT' then 'Plus-prefixed number too short: ' || e when 'LENGTH' then 'Unrecognized digit length: ' || length(d) end as warning
   from ruled)"""
 
+_TOKENS = _CELLS + _PARSED
+
 _USABLE = f"""{_TOKENS},
 usable as (select *, row_number() over (partition by row_id order by slot, nth) as ord, key_type || '::' || canonical_key as key
   from phones_ where key_type is not null)"""
@@ -112,7 +117,98 @@ _COLUMNS = [
     "phone_1_label", "phone_1_value", "phone_2_label", "phone_2_value", "email_1_value", "email_2_value", "website_1_value", "notes", "labels",
 ]
 
+_BLANKS = r"[\s\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_HIDE, _SHOW = ":;|,/" + chr(10) + chr(13), "\ue001\ue002\ue003\ue004\ue005\ue006\ue007"
+
+
+def packed_values(field: str, separators: str, bullets: bool) -> str:
+    """Values of a cell: separators inside quotes are hidden, the rest is split, then each value is cleaned."""
+    hide = f"translate(x, ':;|,/' || chr(10) || chr(13), '{_SHOW}')"
+    show = f"translate(v, '{_SHOW}', ':;|,/' || chr(10) || chr(13))"
+    clean = f"regexp_replace(x, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+    bare = f"regexp_replace({clean}, '^(?:[•‣◦▪●·]{_BLANKS}*|[*–-]{_BLANKS}+)+', '')" if bullets else clean
+    return rf"""
+hidden as (select row_id, array_to_string(list_transform(regexp_extract_all({field}, '"(?:[^"]|"")*"|[^"]+|"'),
+  lambda x: case when length(x) > 1 and starts_with(x, '"') then {hide} else x end), '') as c from contact_rows where {field} is not null),
+pieces as (select row_id, list_filter(list_transform(string_split_regex(c, '{separators}'), lambda x: {bare}), lambda x: x not in ('', '""')) as vs from hidden),
+unquoted as (select row_id, list_transform(vs, lambda v: {show.replace('translate(v,', "translate(case when length(v) > 1 and starts_with(v, chr(34)) and ends_with(v, chr(34)) then replace(v[2:-2], chr(34) || chr(34), chr(34)) else v end,")}) as vs from pieces)"""
+
+
+LABEL_SEPARATORS, NOTE_SEPARATORS = rf":::|[;|,\r\n]|{_BLANKS}+/{_BLANKS}+", rf":::|[;|\r\n]|{_BLANKS}+//{_BLANKS}+"
+
+
+def _packed(least: int) -> str:
+    def one(field: str, separators: str, bullets: bool) -> str:
+        return f"""select * from (with {packed_values(field, separators, bullets)}
+select row_id, '{field}' as field_name, unnest(range(1, len(vs) + 1))::integer as item_pos, unnest(vs) as item_value from unquoted where len(vs) >= {least})"""
+
+    return one("labels", LABEL_SEPARATORS, False) + " union all " + one("notes", NOTE_SEPARATORS, True)
+
+
+_NORM = r"lower(regexp_replace({0}, '[\s_\-\x{{A0}}\x{{FEFF}}]+', '', 'g'))"
+_CELL = r"""(?:[^",]*|"(?:[^"]|"")*")"""
+_UNQUOTE = "list_transform(regexp_extract_all(',' || {0}, ',(\"(?:[^\"]|\"\")*\"|[^,]*)', 1), lambda x: case when starts_with(x, '\"') then replace(x[2:-2], '\"\"', '\"') else x end)"
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
+_TYPE = r"""case when regexp_full_match({0}, '[0-9]+([.,][0-9]+)?') then 'number'
+  when regexp_full_match({0}, '[0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}|[0-9]{{1,2}}[-./][0-9]{{1,2}}[-./]([0-9]{{4}}|[0-9]{{2}})') then 'date'
+  when lower({0}) in ('true', 'false', 'yes', 'no') then 'flag' else 'text' end"""
+
+_RAW = f"""
+heads as (select file_id, {_UNQUOTE.format("regexp_replace(line, '^' || chr(65279), '')")} as names from raw_lines where source_row_number = 1),
+named as (select h.file_id, h.nth, {_NORM.format('h.name')} as hk, coalesce(a.field_name, h.name) as field_name
+  from (select file_id, unnest(names) as name, generate_subscripts(names, 1) as nth from heads) h
+  left join field_aliases a on {_NORM.format('a.header_name')} = {_NORM.format('h.name')}),
+shape as (select r.file_id, r.source_row_number, coalesce(line, '') as line, len(h.names) as width,
+  regexp_full_match(coalesce(line, ''), '{_CELL}(?:,{_CELL})*') as quoted
+  from raw_lines r left join heads h using (file_id) where source_row_number > 1),
+parsed as (select *, {_UNQUOTE.format('line')} as cells from shape where quoted),
+good as (select * from parsed where len(cells) = width),
+flat as (select g.file_id, g.source_row_number, n.field_name, {_trimmed('g.cells[n.nth]')} as v
+  from good g join named n using (file_id)
+  where n.field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code', 'E-mail 1 - Value', 'Phone 1 - Value')),
+typed as (select *, {_TYPE.format('v')} as raw_type from flat where v <> ''),
+type_counts as (select file_id, field_name, raw_type, count(*) as cells from typed
+  where field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code') group by 1, 2, 3),
+main as (select file_id, field_name, raw_type from (select *, row_number() over (partition by file_id, field_name order by cells desc, raw_type) as rn from type_counts) where rn = 1)"""
+
+_DAY = r"""(case when regexp_full_match(v, '[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}') then try_cast(regexp_replace(v, '[./]', '-', 'g') as date)
+  when regexp_full_match(v, '[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}') then try_cast(regexp_replace(v, '^([0-9]+)[-./]([0-9]+)[-./]([0-9]+)$', '\3-\2-\1') as date)
+  when regexp_full_match(v, '[0-9]{8}') then try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] as date) end)"""
+
+_REJECTED = rf"""
+cells as (select g.file_id * 10000000 + g.source_row_number as row_id, 1 as slot, g.cells[n.nth] as v, '' as label, false as spam
+  from good g join named n using (file_id) where n.field_name = 'Phone 1 - Value'),
+{_PARSED},
+bad as (select t.file_id, t.source_row_number from typed t left join main m using (file_id, field_name) where
+  (t.field_name in ('Starred', 'Times Contacted') and t.raw_type <> m.raw_type)
+  or (t.field_name = 'E-mail 1 - Value' and not regexp_full_match(v, '[^\s@]+@[^\s@]+'))
+  or (t.field_name = 'Birthday' and m.raw_type <> 'text' and {_DAY} is null)
+  union select row_id // 10000000, (row_id % 10000000)::integer from phones_ where key_type is null)"""
+
 _SQL = {
+    "p2_found": _packed(2),
+    "p2_values": _packed(1),
+    "p6_types": f"with {_RAW} select file_id, field_name, raw_type, cells from type_counts",
+    "p6_found": f"""with {_RAW},
+pairs as (select file_id, lag(file_id) over (partition by account order by exported_at, file_id) as prev from contact_files where stage = 'raw' and account is not null),
+known as (select n.file_id, n.field_name, min(hk) as hk, min(m.raw_type) as raw_type from named n left join main m on m.file_id = n.file_id and m.field_name = n.field_name group by 1, 2),
+both_ as (select p.file_id, coalesce(c.field_name, o.field_name) as field_name, c.hk as hk, o.hk as ohk, c.raw_type as rt, o.raw_type as ort
+  from (select pairs.file_id, prev, f.field_name as fn from pairs join (select distinct field_name from known) f on true where prev is not null) p
+  left join known c on c.file_id = p.file_id and c.field_name = p.fn left join known o on o.file_id = p.prev and o.field_name = p.fn
+  where c.hk is not null or o.hk is not null)
+select file_id, field_name, 'added' as change_kind from both_ where ohk is null
+union all select file_id, field_name, 'removed' from both_ where hk is null
+union all select file_id, field_name, 'renamed' from both_ where hk <> ohk
+union all select file_id, field_name, 'retyped' from both_ where rt <> ort""",
+    "p7_found": f"""with {_RAW}, {_REJECTED}
+select file_id, source_row_number, 'broken_quoting' as reason from shape where not quoted
+union all select file_id, source_row_number, 'column_count' from parsed where width is null or len(cells) <> width
+union all select file_id, source_row_number, 'invalid_value' from bad""",
     "phone_parse": f"with {_TOKENS} select row_id, phone_ord, raw, cleaned_display, canonical_key, key_type, country, category, confidence, warning from phones_",
     "phone_anomalies": f"with {_TOKENS} select row_id, raw, warning as reason from phones_ where key_type is null",
     "phone_category_counts": f"with {_TOKENS} select category, count(*) as tokens, count(distinct row_id) as contacts from phones_ group by category",
