@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..plans.oracle import LABEL_SEPARATORS, packed_values
+
 _SAYS_NOTHING = """('', 'n a', 'null', 'none', 'nil', 'unknown', 'not known', 'not provided', 'not available', 'not specified', 'no tiene', 'sin dato',
 'sin datos', 'no data', 'no value', 'desconocido', 'no aplica', 'not applicable', 'undefined', 'unbekannt', 'keine angabe', 'inconnu', 'tbd')"""
 _FIELDS = ["first_name", "last_name", "organization_name", "address_1_formatted", "photo", "email_1_value"]
@@ -13,7 +15,22 @@ b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w fro
 dg as (select distinct doc_id, array_to_string(w[i : i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
 bg as (select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b))"""
 
+_NAME_WORDS = " || ' ' || ".join(f"coalesce({c}, '')" for c in ("first_name", "middle_name", "last_name", "name_prefix", "name_suffix", "nickname"))
+_LINES = ", ".join(f"{_WORDS.format(c)} as {c}_" for c in ("organization_name", "address_1_formatted", "photo", "website_1_value", "notes"))
+_P4 = rf"""with {packed_values('labels', LABEL_SEPARATORS, False)},
+tags as (select row_id, list_sort(list_distinct(list_filter(list_transform(vs, lambda v: {_WORDS.format('v')}), lambda v: v <> ''))) as tags from unquoted),
+numbers as (select row_id, list_sort(list_distinct(list(key_type || ':' || regexp_replace(canonical_key, '[^0-9]', '', 'g')))) as numbers
+  from phones where key_type is not null group by row_id),
+keyed as (select c.row_id, list_sort(regexp_extract_all(lower({_NAME_WORDS}), '[\p{{L}}\p{{Nd}}]+')) as names, {_LINES},
+  list_sort(list_distinct(list_filter([{_WORDS.format('email_1_value')}, {_WORDS.format('email_2_value')}], lambda v: v <> ''))) as mails,
+  coalesce(tags, []) as tags, coalesce(numbers, []) as numbers
+  from contact_rows c left join tags using (row_id) left join numbers using (row_id))
+select min(row_id) as row_id, count(*) as copies from keyed group by all_keys"""
+_P4 = _P4.replace("group by all_keys", "group by names, organization_name_, address_1_formatted_, photo_, website_1_value_, notes_, mails, tags, numbers")
+
 _SQL = {
+    "p4_found": _P4 + " having count(*) >= 2",
+    "p4_records": _P4,
     "p3_found": """with recursive l as (select distinct row_a as a, row_b as b from match_pairs where lower(verdict) = 'match' and row_a is not null and row_b is not null and row_a <> row_b),
 e as (select a, b from l union select b, a from l),
 reach(row_id, g) as (select a, a from e union select e.b, reach.g from reach join e on e.a = reach.row_id where reach.g < e.b)
