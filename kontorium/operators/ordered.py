@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_width
+from ..session import cut
 
 
 def _ranged(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    n = shuffle_width(df.sparkSession)
-    keys = [*group, *order]
-    return cut(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "ranged")
+    # without a number, so that adaptive execution may join small neighbouring ranges
+    return cut(df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], name: str = "n") -> DataFrame:

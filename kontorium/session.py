@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -75,6 +76,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kontorium-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kontorium_path = path  # for drop()
     return out
@@ -83,12 +85,20 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_kontorium_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this application; results not yet used up need theirs."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
