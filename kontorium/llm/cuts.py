@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_width
+from ..session import cut
 
 # Marks that a broken transfer leaves, and abbreviations whose point ends no sentence.
 RESIDUE = "…�<[({"
@@ -205,8 +205,7 @@ def longer_copies(docs: DataFrame) -> DataFrame:
     many partitions: the order is by text and id, and borders between partitions are compared apart.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare_text(F.col("text")).alias("text")).filter("text <> ''")
-    n = shuffle_width(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "text", "doc_id").sortWithinPartitions("text", "doc_id").select("doc_id", "text")
+    ordered = rows.repartitionByRange("text", "doc_id").sortWithinPartitions("text", "doc_id").select("doc_id", "text")
     pairs = cut(ordered.mapInArrow(_compare, _PAIR), "prefixes")
     edges = pairs.filter("edge IN ('head', 'last')").select("doc_id", "part", "edge", "text").coalesce(1)
     border = edges.mapInArrow(_stitch, "part int, longer_id long, inside boolean")
