@@ -28,6 +28,8 @@ from .components import LOCAL_EDGES, components
 from .contacts import ContactTable, key_index, phone_occurrences, without_spam
 
 CLUSTER_CAP = 10
+#: A key is hot with more than one in so many of all occurrences; there are fewer hot keys than this.
+HOT_SHARE = 1000
 #: Rows of a component, or links still pending after some rounds, that one task replays alone.
 REPLAY_ROWS = 200_000
 MAX_ROUNDS = 1000
@@ -194,8 +196,13 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
     """
     occ = cut(phone_occurrences(t), "occ")
     index = cut(key_index(occ).filter("n_rows >= 2"), "keys")
+    # hot keys are hubs; they are kept out of joins by key, which would put each into one task
+    is_hot = (F.col("n_rows") > cap) & (F.col("n_rows") > occ.count() / HOT_SHARE)
+    hot = F.broadcast(cut(index.filter(is_hot).select("key", F.col("n_occ").alias("occurrences")), "hot"))
+    held = occ.select("key", "row_id").distinct()
+    cold = held.join(hot, "key", "left_anti")
     usable = index.filter(F.col("n_rows") <= cap).select("key", "n_occ", "first_row")
-    links = cut(occ.select("key", "row_id").distinct().join(usable, "key"), "links")
+    links = cut(cold.join(usable, "key"), "links")
     comp = components(links.select("first_row", "row_id"), "first_row", "row_id", local_edges)
     placed = cut(links.join(comp, links.row_id == comp.v).select("root", "n_occ", "key", "row_id"), "placed")
     large = placed.select("root", "row_id").distinct().groupBy("root").count().filter(F.col("count") > replay_rows).select("root")
@@ -212,10 +219,10 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
 
     # The total of a key refused ahead of its turn counts the clusters as they stood when that came.
     refused = events.filter("kind = 'refused'").select("key", F.col("n_occ").alias("occurrences"), "total")
-    hubs = index.filter(F.col("n_rows") > cap).select("key", F.col("n_occ").alias("occurrences"))
+    hubs = index.filter((F.col("n_rows") > cap) & ~is_hot).select("key", F.col("n_occ").alias("occurrences"))
     hubs = hubs.union(refused.filter("total IS NULL").select("key", "occurrences"))
     at = lambda n, k: F.struct(F.col(n).alias("n"), key_order(F.col(k)).alias("k"))
-    hub_rows = occ.select("key", "row_id").distinct().join(hubs, "key")
+    hub_rows = held.join(hot, "key").unionByName(cold.join(hubs, "key"))
     past = moved.select(F.col("row_id").alias("r"), "cluster", "size", at("n_occ", "key").alias("at"))
     stood = (
         hub_rows.withColumn("turn", at("occurrences", "key"))
@@ -228,8 +235,6 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
     hub_totals = stood.groupBy("key", "occurrences").agg(F.sum("size").alias("total"))
     conflicts = refused.filter("total IS NOT NULL").union(hub_totals)
     where = t.df.select("row_id", "source_file", "source_row")
-    conflict_rows = (
-        occ.join(conflicts.select("key"), "key", "left_semi").join(where, "row_id")
-        .select("key", "row_id", "phone_ord", "source_file", "source_row")
-    )
+    refused_rows = occ.join(hot, "key", "left_semi").union(occ.join(hot, "key", "left_anti").join(conflicts.select("key"), "key", "left_semi"))
+    conflict_rows = refused_rows.join(where, "row_id").select("key", "row_id", "phone_ord", "source_file", "source_row")
     return Clusters(members, conflicts, conflict_rows)

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +96,25 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+@atexit.register
+def _clear_at_exit() -> None:
+    """What a process wrote is of no use after it; on a shared file system the JVM deletes it."""
+    from pyspark import SparkContext
+
+    for paths in _WRITTEN.values():
+        for path in paths:
+            url = urlparse(path)
+            try:
+                if url.scheme in ("", "file"):
+                    _remove_local(url.path)
+                else:
+                    jvm = SparkContext._gateway.jvm
+                    p = jvm.org.apache.hadoop.fs.Path(path)
+                    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+            except Exception:  # noqa: BLE001 - nothing can be done about it any more
+                pass
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from kontorium.operators import clusters
 from kontorium.operators.clusters import capped_clusters
 from kontorium.operators.components import components, solve_edges
 from kontorium.operators.contacts import ContactTable
@@ -76,8 +77,10 @@ def test_spam_and_empty(spark):
     assert rows(c.members) == [] and rows(c.conflicts) == [] and rows(c.conflict_rows) == []
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_against_model(spark, seed):
+@pytest.mark.parametrize("share", [1, 10**6])
+@pytest.mark.parametrize("seed", range(4))
+def test_against_model(spark, seed, share, monkeypatch):
+    monkeypatch.setattr(clusters, "HOT_SHARE", share)  # no hub is hot, or all are
     r = random.Random(seed)
     n = r.randint(1, 90)
     keys = r.randint(1, 60)

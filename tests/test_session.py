@@ -7,12 +7,11 @@ def test_cut_drop_and_clear(spark):
     df = spark.range(5).withColumnRenamed("id", "a.b")
     one, two = session.cut(df, "t"), session.cut(df, "t")
     assert one.dtypes == df.dtypes and sorted(r[0] for r in one.collect()) == list(range(5))
-    folder = session.shared_folder(spark)
     session.drop(one)
     session.drop(df)
     assert not os.path.exists(one._kontorium_path) and os.path.exists(two._kontorium_path)
     session.clear(spark)
-    assert not [f for f in os.listdir(folder) if f.startswith("kontorium-t-")]
+    assert not os.path.exists(two._kontorium_path)
 
 
 def test_named_folder_is_used():
