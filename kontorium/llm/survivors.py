@@ -31,6 +31,8 @@ FIELDS = ["first_name", "last_name", "organization_name", "address_1_formatted",
 
 #: Source tables up to this measured length are broadcast to the members.
 BROADCAST_FILES = 200_000
+#: Stands for a missing trust.
+NO_TRUST = -(1 << 31)
 #: Value forms there can be; the bound on what a group holds per trust level.
 FORMS = 16
 
@@ -51,16 +53,16 @@ def value_form(c: Column) -> Column:
 def candidates(members: DataFrame, rows: DataFrame, files: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """``group_id, field_name, row_id, trust, updated_at, form, value`` of members that say something.
 
-    Repeated members count once; members without a row or group are left out. A missing trust is 0.
+    Repeated members count once; members without a row or group are left out. A missing trust is below any.
     """
     m = members.select("group_id", "row_id").filter("group_id IS NOT NULL").distinct()
     full = m.join(rows.select("row_id", "source_file", "updated_at", *fields), "row_id")
-    trust = files.select("source_file", F.coalesce("trust", F.lit(0)).alias("trust"))
+    trust = files.select("source_file", F.coalesce("trust", F.lit(NO_TRUST)).alias("trust"))
     if files.count() <= BROADCAST_FILES:
         trust = F.broadcast(trust)
     full = full.join(trust, "source_file", "left")
     cells = F.array(*[F.when(says_something(F.col(f)), F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"))) for f in fields])
-    flat = full.select("group_id", "row_id", F.coalesce("trust", F.lit(0)).alias("trust"), "updated_at", F.explode(F.array_compact(cells)).alias("x"))
+    flat = full.select("group_id", "row_id", F.coalesce("trust", F.lit(NO_TRUST)).alias("trust"), "updated_at", F.explode(F.array_compact(cells)).alias("x"))
     return flat.select("group_id", "x.field_name", "row_id", "trust", "updated_at", value_form(F.col("x.value")).alias("form"), "x.value")
 
 
