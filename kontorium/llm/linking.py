@@ -27,21 +27,22 @@ def _degrees(e: DataFrame) -> DataFrame:
     return both.groupBy("v").agg(F.count("*").alias("k"), F.min("n").alias("p"), F.max("n").alias("q"))
 
 
-def _rank_chains(deg: DataFrame) -> tuple[DataFrame, bool]:
-    """``v, lo, hi`` of each degree-two vertex on a path: the two vertices at which the path ends.
+def _rank_chains(deg: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``v, lo, hi`` of each degree-two vertex on a path: where the path ends; ``a, b`` of the rings).
 
-    A pointer leads from one directed edge into a degree-two vertex to the next; it doubles its reach
-    until it enters a vertex of another degree. Vertices on rings never get there and are left out.
+    A pointer leads from one directed edge into a degree-two vertex to the next; each step follows four
+    pointers, until one enters a vertex of another degree. On a ring none ever does.
     """
     inner = deg.filter("k = 2")
     ahead = inner.select(F.col("p").alias("f"), F.col("v").alias("t"), F.col("v").alias("nf"), F.col("q").alias("nt"))
     back = inner.select(F.col("q").alias("f"), F.col("v").alias("t"), F.col("v").alias("nf"), F.col("p").alias("nt"))
     cur, before = cut(ahead.union(back).withColumn("moved", F.lit(True)), "chain"), -1
     while True:
-        nxt = cur.select(F.col("f").alias("f2"), F.col("t").alias("t2"), F.col("nf").alias("nf2"), F.col("nt").alias("nt2"))
-        step = cur.join(nxt, (F.col("nf") == F.col("f2")) & (F.col("nt") == F.col("t2")), "left").select(
-            "f", "t", F.coalesce("nf2", "nf").alias("nf"), F.coalesce("nt2", "nt").alias("nt"), F.col("f2").isNotNull().alias("moved")
-        )
+        step = cur.select("f", "t", "nf", "nt")
+        for i in range(3):
+            nxt = cur.select(*[F.col(c).alias(f"{c}{i}") for c in ("f", "t", "nf", "nt")])
+            hop = step.join(nxt, (F.col("nf") == F.col(f"f{i}")) & (F.col("nt") == F.col(f"t{i}")), "left")
+            step = hop.select("f", "t", F.coalesce(f"nf{i}", "nf").alias("nf"), F.coalesce(f"nt{i}", "nt").alias("nt"), F.col(f"f{i}").isNotNull().alias("moved"))
         new = cut(step, "chain")
         drop(cur)
         cur = new
@@ -50,23 +51,28 @@ def _rank_chains(deg: DataFrame) -> tuple[DataFrame, bool]:
         if moved in (0, before):
             break
         before = moved
-    ends = cur.groupBy("t").agg(F.min("nt").alias("lo"), F.max("nt").alias("hi"), F.max("moved").alias("ring")).filter("NOT ring")
-    return ends.select(F.col("t").alias("v"), "lo", "hi"), moved > 0
+    ends = cur.filter("NOT moved").groupBy("t").agg(F.min("nt").alias("lo"), F.max("nt").alias("hi")).select(F.col("t").alias("v"), "lo", "hi")
+    if not moved:
+        return ends, None
+    return ends, cur.filter("moved").select(F.least("f", "t").alias("a"), F.greatest("f", "t").alias("b")).distinct()
 
 
-def _reduce(e: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(what is left of the edges, per round ``v, parent`` of the vertices removed)."""
+def _reduce(e: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(edges that are left, rings apart; per round ``v, parent`` of the vertices removed)."""
     removed: list[DataFrame] = []
+    rings: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         deg = cut(_degrees(e), "degrees")
         leaves, inner = deg.agg(F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
         if not leaves and not inner:
-            return e, removed
-        ends = None
+            return [e, *rings], removed
+        ends = ring = None
         if inner:
-            ends = cut(_rank_chains(deg)[0], "ends")
-            if not leaves and ends.isEmpty():
-                return e, removed  # only rings and a core without leaves are left
+            found, ring = _rank_chains(deg)
+            ends = cut(found, "ends")
+            if ring is not None:  # a ring of degree-two vertices is a whole component: nothing else reduces it
+                ring = cut(ring, "rings")
+                rings.append(ring)
         low = deg.filter("k <= 2")
         sides = low.select("v", "k", F.explode(F.array_distinct(F.array("p", "q"))).alias("n"))
         pairs = sides.groupBy(F.least("v", "n").alias("a"), F.greatest("v", "n").alias("b")).agg(
@@ -82,15 +88,18 @@ def _reduce(e: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             gone = gone.union(ends.select("v", F.col("lo").alias("parent")))
             sides2 = ends.join(deg, "v").select("v", F.explode(F.array("p", "q")).alias("n"))
             dead = dead.union(sides2.select(F.least("v", "n").alias("a"), F.greatest("v", "n").alias("b")))
+        if ring is not None:
+            dead = dead.union(ring)
         removed.append(cut(gone, "removed"))
         left = e.join(dead.distinct(), ["a", "b"], "left_anti")
         if ends is not None:
             left = left.union(ends.filter("lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
         new = cut(left.distinct(), "left")
-        drop(e)
+        if len(removed) > 1:  # the first edges are read once more for the vertices
+            drop(e)
         e = new
         if e.isEmpty():
-            return e, removed
+            return rings or [e], removed
     raise RuntimeError(f"the graph did not reduce in {MAX_ROUNDS} rounds")
 
 
@@ -104,8 +113,7 @@ def linked_groups(pairs: DataFrame, a: str, b: str, local_edges: int = LOCAL_EDG
     links = pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), x.isNull().alias("nx"), y.isNull().alias("ny"))
     first = cut(links.filter("NOT nx AND NOT ny AND a < b").select("a", "b").distinct(), "links")
     vertices = first.select(F.col("a").alias("v")).union(first.select(F.col("b").alias("v"))).distinct()
-    left, removed = _reduce(cut(first, "links"))
-    root = vertices
+    left, removed = _reduce(first)
     if removed:
         forest = removed[0]
         for r in removed[1:]:
@@ -119,7 +127,10 @@ def linked_groups(pairs: DataFrame, a: str, b: str, local_edges: int = LOCAL_EDG
         root = vertices.join(forest, "v", "left").select("v", F.coalesce("parent", "v").alias("r"))
     else:
         root = vertices.select("v", F.col("v").alias("r"))
-    core = components(left, local_edges=local_edges).select(F.col("v").alias("c"), "root")
+    rest = left[0]
+    for x in left[1:]:
+        rest = rest.union(x)
+    core = components(rest, local_edges=local_edges).select(F.col("v").alias("c"), "root")
     labelled = cut(root.join(core, F.col("r") == F.col("c"), "left").select("v", F.coalesce("root", "r").alias("g")), "labelled")
     smallest = labelled.groupBy("g").agg(F.min("v").alias("group_id"))
     return labelled.join(smallest, "g").select(F.col("v").alias("row_id"), "group_id")
