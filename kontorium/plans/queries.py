@@ -49,7 +49,7 @@ def _members(t: c.ContactTable) -> DataFrame:
 def phone_parse(spark, d):
     """Every token of both phone cells with its key, rule and confidence."""
     p = c.explode_phones(_contacts(spark, d), anomalies=True)
-    return p.select("row_id", "phone_ord", "raw", "cleaned_display", "canonical_key", "key_type", "country", "category", "confidence", "warning")
+    return p.select("row_id", F.col("phone_ord").cast("long").alias("phone_ord"), "raw", "cleaned_display", "canonical_key", "key_type", "country", "category", "confidence", "warning")
 
 
 @query
@@ -69,14 +69,14 @@ def phone_category_counts(spark, d):
 def phone_render(spark, d):
     """The value written out for each usable phone."""
     p = c.explode_phones(_contacts(spark, d))
-    return p.select("row_id", "phone_ord", render_phone(F.col("key_type"), F.col("country"), F.col("canonical_key")).alias("shown"))
+    return p.select("row_id", F.col("phone_ord").cast("long").alias("phone_ord"), render_phone(F.col("key_type"), F.col("country"), F.col("canonical_key")).alias("shown"))
 
 
 @query
 def phone_explode(spark, d):
     """Usable phones of rows off the blocklist with the label beside their cell."""
     p = c.explode_phones(c.without_spam(_contacts(spark, d)))
-    return p.select("row_id", "phone_ord", "key_type", "canonical_key", "source_label")
+    return p.select("row_id", F.col("phone_ord").cast("long").alias("phone_ord"), "key_type", "canonical_key", "source_label")
 
 
 @query
