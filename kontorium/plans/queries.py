@@ -279,7 +279,7 @@ def p6_found(spark, d):
 @query
 def p6_table(spark, d):
     """All sound records of all files in one schema, with the cells that did not cast."""
-    fields = [r[0] for r in table(spark, d, "field_aliases").select("field_name").distinct().orderBy("field_name").collect()]  # fixed table
+    fields = [r[0] for r in table(spark, d, "field_aliases").select("field_name").filter("field_name IS NOT NULL").distinct().orderBy("field_name").collect()]  # fixed table
     return typed_table(_raw(spark, d)[1], fields)
 
 

@@ -39,7 +39,7 @@ def header_key(name: str) -> str:
 
 def alias_map(aliases: DataFrame) -> dict[str, str]:
     """Header key to field name, from the fixed mapping table (at most ``MAX_ALIASES`` rows, checked)."""
-    rows = aliases.select("header_name", "field_name").filter("header_name IS NOT NULL").limit(MAX_ALIASES + 1).collect()
+    rows = aliases.select("header_name", "field_name").filter("header_name IS NOT NULL AND field_name IS NOT NULL").limit(MAX_ALIASES + 1).collect()
     if len(rows) > MAX_ALIASES:
         raise ValueError(f"more than {MAX_ALIASES} header names")
     return {header_key(r["header_name"]): r["field_name"] for r in rows}

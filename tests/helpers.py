@@ -24,3 +24,22 @@ def compare_sql(spark, folder, name, query, sql):
     at = [names.index(c) for c in cols]
     theirs = sorted((tuple(text(r[i]) for i in at) for r in cur.fetchall()), key=repr)
     return mine, theirs
+
+
+TABLES = ["contact_files", "contact_rows", "phones", "match_pairs", "group_members", "raw_lines", "field_aliases", "documents", "benchmark"]
+CLASHING = ["key", "root", "v", "value", "n", "_pid", "part", "chunk", "bucket", "fields", "cells", "cluster", "size", "at", "item", "owner", "trust_", "values"]
+
+
+def altered_tables(spark, folder, out, empty=False):
+    """The tables with a row of nulls, repeated rows kept, and extra columns of names used inside; or without rows."""
+    from pyspark.sql import functions as F
+
+    for t in TABLES:
+        df = spark.read.parquet(f"{folder}/{t}.parquet")
+        if empty:
+            df.limit(0).write.parquet(f"{out}/{t}.parquet")
+            continue
+        nulls = spark.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes])
+        extra = [F.lit("x").alias(c) for c in CLASHING if c not in df.columns]
+        df.unionByName(nulls).select("*", *extra).write.parquet(f"{out}/{t}.parquet")
+    return str(out)
