@@ -182,9 +182,9 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def count_copies(keyed: DataFrame, key: str, row: str, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """``row_id, copies``: for each distinct ``key`` (text) its smallest ``row`` and number of rows.
 
-    A null key counts as the empty one. Empty input gives no rows.
+    A null key counts as the empty one; rows without ``row`` are left out. Empty input gives no rows.
     """
-    source = keyed.select(F.encode(F.coalesce(F.col(key), F.lit("")), "UTF-8").alias("key"), F.col(row).cast("long").alias("row_id"))
+    source = keyed.filter(F.col(row).isNotNull()).select(F.encode(F.coalesce(F.col(key), F.lit("")), "UTF-8").alias("key"), F.col(row).cast("long").alias("row_id"))
     counted = cut(source.mapInArrow(_count_split, "key binary, n long, row_id long"), "counted")
     lows = radix_buckets(counted, bucket_keys)
     placed = counted.mapInArrow(_assign(lows), "bucket int, key binary, n long, row_id long")
