@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from .text import jtrim
 
+# What the results show for each rule, in the order of the rules.
+NO_DIGITS = "No digits found in token"
+MX_TOO_SHORT = "MX (+52) number too short: "
+PLUS_TOO_SHORT = "Plus-prefixed number too short: "
+WRONG_LENGTH = "Unrecognized digit length: "
+ZEROS_CATEGORY = ("INTL_00_PREFIX(", ")")
+SHORT_CATEGORY = "SHORT_CODE_LEN"
+VERY_SHORT_CATEGORY = "VERY_SHORT_CODE_LEN"
+
 PHONE_FIELDS = ["raw", "cleaned_display", "canonical_key", "key_type", "country", "category", "confidence", "warning"]
 
 # The no-break space and the dashes that cleaning folds, and what they become.
@@ -75,19 +84,19 @@ def _record(t: Column) -> Column:
     )
     plain = (
         F.when(wrong, F.lit("ANOMALY"))
-        .when(rule == "SHORT", F.concat(F.lit("SHORT_CODE_LEN"), n))
-        .when(rule == "VERY_SHORT", F.concat(F.lit("VERY_SHORT_CODE_LEN"), n))
+        .when(rule == "SHORT", F.concat(F.lit(SHORT_CATEGORY), n))
+        .when(rule == "VERY_SHORT", F.concat(F.lit(VERY_SHORT_CATEGORY), n))
         .otherwise(rule)
     )
-    category = F.when(t["zeros"], F.concat(F.lit("INTL_00_PREFIX("), plain, F.lit(")"))).otherwise(plain)
+    category = F.when(t["zeros"], F.concat(F.lit(ZEROS_CATEGORY[0]), plain, F.lit(ZEROS_CATEGORY[1]))).otherwise(plain)
     confidence = (
         F.when(wrong | short, F.lit("LOW")).when(rule.startswith("E164"), F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
     )
     warning = (
-        F.when(rule == "EMPTY", F.lit("No digits found in token"))
-        .when(rule == "MX_SHORT", F.concat(F.lit("MX (+52) number too short: "), intl))
-        .when(rule == "PLUS_SHORT", F.concat(F.lit("Plus-prefixed number too short: "), intl))
-        .when(rule == "LENGTH", F.concat(F.lit("Unrecognized digit length: "), n))
+        F.when(rule == "EMPTY", F.lit(NO_DIGITS))
+        .when(rule == "MX_SHORT", F.concat(F.lit(MX_TOO_SHORT), intl))
+        .when(rule == "PLUS_SHORT", F.concat(F.lit(PLUS_TOO_SHORT), intl))
+        .when(rule == "LENGTH", F.concat(F.lit(WRONG_LENGTH), n))
     )
     values = [t["raw"], shown, key, kind, country, category, confidence, warning]
     return F.struct(*[v.alias(k) for k, v in zip(PHONE_FIELDS, values)])

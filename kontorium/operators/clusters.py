@@ -27,6 +27,7 @@ from ..session import cut
 from .components import LOCAL_EDGES, components
 from .contacts import ContactTable, key_index, phone_occurrences, without_spam
 
+# Fixed value: rows a cluster may hold.
 CLUSTER_CAP = 10
 #: A key is hot with more than one in so many of all occurrences; there are fewer hot keys than this.
 HOT_SHARE = 1000

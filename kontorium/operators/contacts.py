@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.phones import PHONE_FIELDS, identity_key, parse_phones
 from ..functions.text import jtrim, non_blank
 
+# Header names of an export.
 NAME_HEADERS = ["First Name", "Middle Name", "Last Name", "Name Prefix", "Name Suffix", "Nickname"]
 IDENTITY_HEADERS = ["First Name", "Last Name", "Organization Name", "E-mail 1 - Value", "Address 1 - Formatted", "Photo"]
 SLOT = re.compile(r"(Phone|E-mail|Website) (\d+) - (Label|Value)")

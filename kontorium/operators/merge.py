@@ -13,6 +13,7 @@ from ..session import cut
 from .contacts import SLOT, ContactTable, explode_phones, identity_score
 from .ordered import number_within
 
+# Phones a record may hold, and the order in which names are collapsed.
 PHONE_SLOTS = 20
 NAME_ORDER = ["Name Prefix", "First Name", "Middle Name", "Last Name", "Name Suffix", "Nickname"]
 

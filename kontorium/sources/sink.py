@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_escape
 
 
+# The format of the output's file name.
+NAME_FORMAT = "%Y%m%d_%H%M%S"
+NAME_END = "_google_reimport.csv"
+
+
 def output_name(now: datetime) -> str:
     """File name of a run that began at ``now``."""
-    return now.strftime("%Y%m%d_%H%M%S") + "_google_reimport.csv"
+    return now.strftime(NAME_FORMAT) + NAME_END
 
 
 def csv_line(columns: list) -> F.Column:
