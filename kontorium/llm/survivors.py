@@ -85,7 +85,7 @@ def learn_precedence(cands: DataFrame) -> dict[str, set[tuple[int, int]]]:
 def latest(nodes: list[dict], later: set[tuple[int, int]] | None) -> int:
     """The row of the topologically latest node of one group and field.
 
-    Nodes: ``trust, form, at`` (microseconds, None if missing) and ``row``. Without ``later`` a missing
+    Nodes: ``trust, form, at`` (None if missing) and ``row``. Without ``later`` a missing
     time is the earliest. With it, an untimed node of the top trust comes after the latest timed one if
     its form is learned to follow that one's, before it otherwise, and untimed nodes follow each other
     by learned forms. Nodes that nothing puts in order are taken by smallest row.
@@ -132,8 +132,7 @@ def surviving_values(cands: DataFrame, missing_time: str = "earliest") -> DataFr
     if missing_time == "learned":
         cands = cut(cands, "candidates")
         learned = learn_precedence(cands)
-    at = F.unix_micros(F.col("updated_at").cast("timestamp"))
-    folded = cands.select("group_id", "field_name", "trust", "form", at.alias("at"), "row_id").groupBy(
+    folded = cands.select("group_id", "field_name", "trust", "form", F.col("updated_at").alias("at"), "row_id").groupBy(
         "group_id", "field_name", "trust", "form", F.col("at").isNull().alias("untimed")
     ).agg(F.max(F.struct("at", (-F.col("row_id")).alias("r"))).alias("m"))
     node = F.struct("trust", "form", F.col("m.at").alias("at"), (-F.col("m.r")).alias("row"))
