@@ -1,9 +1,11 @@
 """Filling containers of a fixed token capacity with whole texts.
 
-Each task packs the texts of its split as they come, by best fit: a bounded number of bins is open, kept
-in a bitset with one bit per amount of free space; a text goes into the bin that it fills most, found by
-bit arithmetic, and when too many bins are open the fullest closes. The bins still open at the end of a
-split are few; what they hold is packed again, many splits together, until one task has seen it all.
+Texts are measured where they lie. Only ids and lengths are then spread by hash, since neighbours in a
+source are often alike and best fit wants sizes mixed. Each task packs its share as it comes, in runs that
+about fill the open bins and begin with their largest texts, by best fit: a bounded number of bins is open, kept in a bitset with one bit per amount of free space; a text goes into
+the bin that it fills most, found by bit arithmetic, and when too many bins are open the fullest closes.
+The bins still open at the end of a share are few; what they hold is packed again, many shares together,
+until one task has seen it all.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 CAPACITY = 4096
-OPEN_BINS = 256
-#: Splits whose open bins are packed again together.
-MERGE_SPLITS = 32
+OPEN_BINS = 1024
+#: A run of texts that are packed largest first, as a share of what the open bins hold.
+RUN_FILL = 0.9
+#: Shares whose open bins are packed again together.
+MERGE_SPLITS = 16
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,21 +124,42 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], [f.split()[0] for f in _SCHEMA.split(", ")])
 
 
-def _pack_documents(capacity: int, open_bins: int, path: str):
+def _measure(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [count_tokens(t.as_py() or "", path) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return run
+
+
+def _pack(capacity: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fit, out = BestFit(capacity, open_bins), _Out(TaskContext.get().partitionId())
+        waiting: list[tuple[int, tuple]] = []
+        tokens = 0
+
+        def place() -> None:
+            waiting.sort(key=lambda x: -x[0])
+            for n, item in waiting:
+                out.put(fit.add(item, n), True)
+            waiting.clear()
+
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                n = count_tokens(text.as_py() or "", path)
+            for doc, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 piece, start = 0, 0
                 while n - start > capacity:  # only a text above the capacity is divided
                     out.put([(doc, piece, start, capacity)], True)
                     piece, start = piece + 1, start + capacity
-                if n - start or not piece:
-                    out.put(fit.add((doc, piece, start, n - start), n - start), True)
+                waiting.append((n - start, (doc, piece, start, n - start)))
+                tokens += n - start
+                if tokens >= RUN_FILL * open_bins * capacity or len(waiting) >= 64 * open_bins:
+                    place()
+                    tokens = 0
             yield out.flush()
+        place()
         for items in fit.rest():
             out.put(items, False)
         yield out.flush()
@@ -173,8 +198,9 @@ def packed_documents(
     have a container each and its rest is packed like a text. Null and empty texts are items of no
     tokens. Containers never exceed the capacity. Empty input gives no rows.
     """
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    level = cut(items.mapInArrow(_pack_documents(capacity, open_bins, tokenizer), _SCHEMA), "packed")
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure(tokenizer), "doc_id long, n_tokens long")
+    mixed = items.withColumn("h", F.xxhash64("doc_id")).repartition("h").sortWithinPartitions("h", "doc_id", "n_tokens")
+    level = cut(mixed.select("doc_id", "n_tokens").mapInArrow(_pack(capacity, open_bins), _SCHEMA), "packed")
     done = [level.filter("closed").withColumn("level", F.lit(0))]
     depth, width = 1, level.agg(F.max("part")).first()[0]
     while width is not None:
