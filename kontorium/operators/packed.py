@@ -36,16 +36,19 @@ class Rule:
 LABELS = Rule("c;|n,", "/")
 NOTES = Rule("c;|n", "D", True)
 
-_BLANKS = r"[\s\p{Z}\x{85}\x1C-\x1F&&[^\r\n]]+"
+_BLANKS = r"[\s\p{Z}\x{85}\x1C-\x1F&&[^\r\n]]++"
 _FREE_BULLETS, _DASH_BULLETS = "•‣◦▪●·", "*–-"
 
 
 def _token_pattern(rule: Rule) -> str:
     """One token of a cell. Ordinary text runs on over blanks and dashes, and over slashes without blanks
-    beside them, since these mean something only at the start of a value or between blanks."""
+    beside them, since these mean something only at the start of a value or between blanks.
+
+    Loops are possessive: java.util.regex runs these in place, but calls itself once per turn of any other loop
+    over a group, which overflows the stack on long text. No match changes, as nothing after them can fail."""
     comma = "," if "," in rule.separators else ""
     plain = rf'(?:[^\s\p{{Z}}\x{{85}}\x1C-\x1F";|/•‣◦▪●·*–\-:{comma}]|:(?!::))'
-    return rf"(?s):::|//|\r\n|{_BLANKS}|{plain}+(?:(?:[ \-–]+|/+){plain}+)*|."
+    return rf"(?s):::|//|\r\n|{_BLANKS}|{plain}++(?:(?:[ \-–]++|/++){plain}++)*+|."
 
 
 def _letter(t: Column) -> Column:

@@ -113,3 +113,10 @@ def test_nulls_empty_and_least(spark, least, n):
 def test_very_long_cell(spark):
     out = got(spark, [("notes", "; ".join(f"value {i}" for i in range(40_000)))])
     assert len(out[0]) == 40_000 and out[0][-1] == (40_000, "value 39999")
+
+
+@pytest.mark.parametrize("unit", ["x", "word ", "a-b – ", "a/b//", ":x", "é😀", " ", "-", "\t"])
+def test_a_million_characters_in_one_value(spark, unit):
+    text = ("A" + unit * 1_000_000)[:999_999] + "z"
+    for kw in ({}, {"broadcast_bytes": 0}):
+        assert got(spark, [("labels", text), ("notes", text), ("notes", f"{text}; b")], **kw) == {0: [(1, text)], 1: [(1, text)], 2: [(1, text), (2, "b")]}
