@@ -16,6 +16,7 @@ from ..session import cut
 from ..sources.rawlines import CHUNK_RECORDS, alias_map, cell_of, headers, parse_records
 from .ordered import with_previous
 
+#: Fields whose change of type counts.
 TYPED_FIELDS = ["Birthday", "Starred", "Times Contacted", "Postal Code"]
 
 # The words of a flag.
@@ -55,10 +56,10 @@ def path_values(records: DataFrame) -> DataFrame:
     return good.select("file_id", "source_row_number", F.map_from_entries(first).alias("path_values"))
 
 
-def path_types(records: DataFrame, fields: list[str] = TYPED_FIELDS) -> DataFrame:
-    """``file_id, field_name, raw_type, cells``: how many cells of a file's field have each raw type."""
-    kinds = F.array(*[F.struct(F.lit(f).alias("field_name"), raw_type(cell_of(f)).alias("raw_type")) for f in fields])
-    rows = records.filter("reason IS NULL").select("file_id", F.explode(kinds).alias("x")).select("file_id", "x.*")
+def path_types(records: DataFrame) -> DataFrame:
+    """``file_id, field_name, raw_type, cells``: how many cells of each path of a file have each raw type."""
+    cells = path_values(records).select("file_id", F.explode("path_values").alias("field_name", "cell"))
+    rows = cells.select("file_id", "field_name", raw_type(F.col("cell")).alias("raw_type"))
     return rows.filter("raw_type IS NOT NULL").groupBy("file_id", "field_name", "raw_type").agg(F.count("*").alias("cells"))
 
 
@@ -72,14 +73,14 @@ def schema_changes(files: DataFrame, heads: DataFrame, types: DataFrame) -> Data
     """``file_id, field_name, change_kind`` of each raw file against its account's previous one.
 
     Kinds: added, removed, renamed (another header key for the field), retyped (another main type, for
-    fields in ``types``). A file without account has no predecessor; a file without header has no fields.
+    ``TYPED_FIELDS`` only). A file without account has no predecessor; a file without header has no fields.
     Where ``exported_at`` ties, the file id decides the order.
     """
     raw = files.filter("stage = 'raw' AND account IS NOT NULL").select("account", "exported_at", "file_id")
     order = with_previous(raw, ["account"], ["exported_at", "file_id"], ["file_id"]).filter("prev_file_id IS NOT NULL").select("file_id", "prev_file_id")
     pair = F.explode(F.arrays_zip(F.col("fields").alias("field_name"), F.col("keys").alias("key"))).alias("x")
     flat = heads.select("file_id", pair).select("file_id", "x.*").groupBy("file_id", "field_name").agg(F.min("key").alias("key"))
-    flat = flat.join(main_types(types), ["file_id", "field_name"], "left")
+    flat = flat.join(main_types(types).filter(F.col("field_name").isin(*TYPED_FIELDS)), ["file_id", "field_name"], "left")
     now = flat.join(order, "file_id").select("file_id", "field_name", F.struct("key", "raw_type").alias("now"), F.lit(None).alias("was"))
     was = flat.withColumnRenamed("file_id", "prev_file_id").join(order, "prev_file_id").select(
         "file_id", "field_name", F.lit(None).alias("now"), F.struct("key", "raw_type").alias("was")

@@ -18,7 +18,7 @@ from ..operators.clusters import capped_clusters
 from ..operators.components import components
 from ..operators.keycounts import counts_per_key
 from ..operators.packed import LABELS, NOTES, split_packed
-from ..operators.rawfiles import load_raw, path_types, path_values, rejects, schema_changes, typed_table
+from ..operators.rawfiles import TYPED_FIELDS, load_raw, path_types, path_values, rejects, schema_changes, typed_table
 from ..session import cut, shared_folder, ship
 from ..sources.exports import header_union, read_contacts, read_records
 from .pipeline import resolve
@@ -285,6 +285,13 @@ def p6_table(spark, d):
 
 @query
 def p6_types(spark, d):
+    """Types of the fields whose change of type counts."""
+    return path_types(_raw(spark, d)[1]).filter(F.col("field_name").isin(*TYPED_FIELDS))
+
+
+@query
+def p6_all_types(spark, d):
+    """Types of every path of every file."""
     return path_types(_raw(spark, d)[1])
 
 

@@ -156,6 +156,14 @@ def test_changes(spark):
     assert ("Birthday", "date") in [(r["field_name"], r["raw_type"]) for r in main_types(path_types(rec)).collect()]
 
 
+def test_types_of_every_path(spark):
+    files = {1: ["Vorname,Shoe Size,Notes,Shoe Size,DOB", "a,41,yes,x,2000-01-01", "b,42.5,,y,", "c,n/a, ,z,1.2.1999", "bad"]}
+    _, rec = load_raw(raw(spark, files), aliases(spark))
+    assert rows(path_types(rec)) == sorted(
+        [(1, "First Name", "text", 3), (1, "Shoe Size", "number", 2), (1, "Shoe Size", "text", 1), (1, "Notes", "flag", 1), (1, "Birthday", "date", 2)], key=repr
+    )
+
+
 def test_table_and_empty(spark):
     files = {1: ["Vorname,DOB,Starred,Vorname", "a,31.12.1999,1,b", "c,never,maybe,d", "bad"]}
     _, rec = load_raw(raw(spark, files), aliases(spark))
