@@ -135,3 +135,11 @@ def test_same_under_other_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         assert rows(capped_clusters(t.with_df(t.df.repartition(5, F.col("c1")))).members) == want
     spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_long_chain_of_rising_keys(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(clusters, "cut", lambda df, name="step", real=clusters.cut: written.append(name) or real(df, name))
+    phones = [" ::: ".join(number(k) for k in (i - 1, i) if 0 <= k < 1500) for i in range(1501)]
+    check(spark, phones, replay_rows=1)
+    assert written.count("pending") < 10
