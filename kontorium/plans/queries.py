@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,21 +205,39 @@ def csv_lines(spark, d):
     return t.df.select("row_id", F.concat_ws(",", *[csv_escape(F.col(x)) for x in t.columns]).alias("line"))
 
 
+def _mounted(spark: SparkSession, folder: str) -> str:
+    """The folder as a path that every host opens; an error where it is on no mounted file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    uri = hadoop.Path(folder).toUri()
+    scheme = uri.getScheme() or hadoop.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    if scheme != "file":
+        raise ValueError(f"exports are read by path, but the shared folder {folder} is on {scheme}; name a mounted one in spark.checkpoint.dir")
+    return uri.getPath()
+
+
 def _export_folder(spark: SparkSession, d: str) -> str:
     """The loaded files of contact_rows written out as exports, for the queries that read CSV files."""
-    folder = shared_folder(spark).removeprefix("file://")
-    path = os.path.join(folder if "://" not in folder else tempfile.gettempdir(), f"kontorium-exports-{uuid.uuid4().hex}")
+    path = os.path.join(_mounted(spark, shared_folder(spark)), f"kontorium-exports-{uuid.uuid4().hex}")
     t = _contacts(spark, d)
     head = ",".join(t.header)
     lines = t.df.select("source_file", "source_row", F.concat_ws(",", *[csv_escape(F.col(x)) for x in t.columns]).alias("line"))
 
-    def write(key, pdf):
-        os.makedirs(path, exist_ok=True)
-        with open(os.path.join(path, key[0]), "w", encoding="utf-8", newline="") as f:
-            f.write("\r\n".join([head, *pdf.sort_values("source_row")["line"]]) + "\r\n")
-        return pdf.head(1)[["source_file"]]
-
-    lines.groupBy("source_file").applyInPandas(write, "source_file string").count()
+    def records(batches):
+        for b in batches:
+            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+    def write(batches):
+        for name, rows in groupby(records(batches), lambda r: r[0]):
+            os.makedirs(path, exist_ok=True)
+            part = os.path.join(path, f"{name}.{uuid.uuid4().hex}.part")  # a task that runs twice leaves one whole file
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.write(head + "\r\n")
+                f.writelines(line + "\r\n" for _, line in rows)
+            os.replace(part, os.path.join(path, name))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["source_file"])
+
+    placed = lines.repartition("source_file").sortWithinPartitions("source_file", "source_row").select("source_file", "line")
+    placed.mapInArrow(write, "source_file string").count()
     return path
 
 

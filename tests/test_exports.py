@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 
+from kontorium.plans import queries
 from kontorium.plans.pipeline import main, run
 from kontorium.sources.exports import header_union, list_exports, read_contacts, read_csv, read_records, tokenize
 from kontorium.sources.sink import output_name
@@ -99,3 +100,17 @@ def test_no_input(spark, tmp_path, capsys):
 
 def test_output_name():
     assert output_name(datetime(2024, 1, 2, 3, 4, 5)) == "20240102_030405_google_reimport.csv"
+
+
+def test_exports_go_to_a_mounted_folder(spark, sf, tmp_path, monkeypatch):
+    for folder in ("hdfs://host/x", "s3a://bucket/x"):
+        monkeypatch.setattr(queries, "shared_folder", lambda _: folder)
+        with pytest.raises(ValueError, match="mounted"):
+            queries._export_folder(spark, sf)
+    rows = spark.read.parquet(f"{sf}/contact_rows.parquet").select("source_file", "source_row_number").orderBy("source_file", "source_row_number").collect()
+    for folder in (f"file:{tmp_path}/a", f"file://{tmp_path}/b", f"{tmp_path}/c"):
+        monkeypatch.setattr(queries, "shared_folder", lambda _: folder)
+        path = queries._export_folder(spark, sf)
+        assert os.path.dirname(path) == f"{tmp_path}/{folder[-1]}" and sorted(os.listdir(path)) == sorted({r[0] for r in rows})
+        t = read_contacts(spark, path)
+        assert t.df.count() == len(rows)
