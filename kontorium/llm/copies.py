@@ -1,16 +1,14 @@
 """Copies hidden by formatting: canonical bytes, recursive radix partitions, tries that count.
 
 Each split first counts its own canonical keys in a trie, so a text with any number of copies enters the
-shuffle once per split. Radix partitions then start from the whole key space: while a bucket holds more
-keys than fit, it is split by the next byte on which its keys differ. Buckets are byte ranges; each is
+shuffle once per split. Radix partitions then begin with the first bytes of the keys: while a bucket holds
+more entries than a task should get, it is split by further bytes before the shuffle; a bucket that still
+holds more keys than fit is split by further bytes after it, again and again. Each bucket that fits is
 counted in a trie of its own.
 """
 
 from __future__ import annotations
 
-import math
-import os
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_line, words
 from ..operators.packed import LABELS, packed_values
+from ..operators.skew import hot_limit
 from ..session import cut
 
 #: Keys a split's trie holds before it hands them over.
 SPLIT_KEYS = 100_000
-#: Keys that fit into a bucket, unless that would make more than ``MOST_BUCKETS``.
+#: Keys that fit into a bucket.
 BUCKET_KEYS = 10_000
-MOST_BUCKETS = 4096
+#: Bytes of the keys that the first partition uses.
+FIRST_BYTES = 8
 
 _STRIDE = 4
 NAME_FIELDS = ["first_name", "middle_name", "last_name", "name_prefix", "name_suffix", "nickname"]
@@ -87,96 +87,98 @@ def _count_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(list(trie.items()))
 
 
-def _histogram(lows: list[bytes], depths: list[int]):
-    """Per open bucket and byte at its depth: keys, smallest and largest key. ``depths`` is -1 where closed."""
+def _label(depth: Column) -> Column:
+    """The bucket of a key: the hash of its first ``depth`` bytes. A clash only joins two buckets."""
+    return F.xxhash64(F.substring("key", F.lit(1), depth))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for key in b.column(0).to_pylist():
-                i = bisect_right(lows, key) - 1
-                d = depths[i]
-                if d < 0:
-                    continue
-                at = (i, key[d] + 1 if d < len(key) else 0)
-                x = seen.get(at)
-                if x is None:
-                    seen[at] = [1, key, key]
-                else:
-                    x[0] += 1
-                    if key < x[1]:
-                        x[1] = key
-                    elif key > x[2]:
-                        x[2] = key
-        rows = [(i, c, *x) for (i, c), x in seen.items()]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "byte", "n", "low", "high"])
 
-    return run
+def radix_labels(keys: DataFrame) -> DataFrame:
+    """``key, n, row_id, depth, label``: entries by their first bytes, so that no label is hot.
 
+    Begins with the first ``FIRST_BYTES`` bytes. Labels with more entries than a quarter of an average
+    shuffle partition are split by as many bytes again, until none is left but those of equal keys, which
+    have one entry per split. At most four labels per shuffle partition are split at a time; they are
+    broadcast as numbers, and no key leaves the executors.
+    """
+    limit = hot_limit(keys.sparkSession, keys.count())
+    depth = FIRST_BYTES
+    out = keys.withColumn("depth", F.lit(depth)).withColumn("label", _label(F.col("depth")))
+    while True:
+        sizes = out.filter(F.col("depth") == depth).groupBy("label").agg(F.count("*").alias("k"), F.max(F.octet_length("key")).alias("longest"))
+        hot = cut(sizes.filter((F.col("k") > limit) & (F.col("longest") > depth)).select(F.col("label").alias("hot")), "hot")
+        if hot.isEmpty():
+            return out
+        marked = out.join(F.broadcast(hot), (F.col("label") == F.col("hot")) & (F.col("depth") == depth), "left")
+        split = F.col("hot").isNotNull()
+        out = marked.select(
+            "key", "n", "row_id", F.when(split, F.lit(2 * depth)).otherwise(F.col("depth")).alias("depth"),
+            F.when(split, _label(F.lit(2 * depth))).otherwise(F.col("label")).alias("label"),
+        )
+        depth *= 2
+
+
+_ENTRY = "closed boolean, label long, depth int, key binary, n long, row_id long"
+
+
+def _count_buckets(fit: int):
+    """Count each bucket in its trie; rows come sorted by label.
+
+    A bucket that turns out to hold more than ``fit`` keys hands over what it has counted and all that
+    follows as open entries, to be split by further bytes. So a task never holds more keys than fit.
+    """
+    types = [pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
-def radix_buckets(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, most: int = MOST_BUCKETS) -> list[bytes]:
-    """Lower bounds of the buckets over binary column ``key``, the first b''.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        current, trie, opened, longest = None, CountingTrie(), False, 0
 
-    There are at most about three times ``most`` of them, whatever the data. Each pass counts the open
-    buckets' next bytes over all keys; bytes that all keys of a bucket share are skipped. A bucket of
-    equal keys is never split: it has one entry per split of the input.
-    """
-    total, low, high = keys.agg(F.count("*"), F.min("key"), F.max("key")).first()
-    fit = max(bucket_keys, math.ceil((total or 0) / most))
-    if not total or total <= fit or low == high:
-        return [b""]
-    shared = lambda a, b: len(os.path.commonprefix([bytes(a), bytes(b)]))
-    lows, depths = [b""], [shared(low, high)]
-    while any(d >= 0 for d in depths):
-        found = keys.select("key").mapInArrow(_histogram(lows, depths), "bucket int, byte int, n long, low binary, high binary")
-        parts = found.groupBy("bucket", "byte").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
-        new: list[tuple[bytes, int]] = [(lo, -1) for lo, d in zip(lows, depths) if d < 0]
-        for i, d in enumerate(depths):
-            if d < 0:
-                continue
-            held = None  # keys of the range that is being filled
-            for p in sorted((p for p in parts if p["bucket"] == i), key=lambda p: p["byte"]):
-                start = lows[i] if held is None else bytes(p["low"])[: d + 1]
-                if p["n"] > fit and p["low"] != p["high"]:
-                    new.append((start, shared(p["low"], p["high"])))
-                    held = fit  # the next byte begins a range of its own
-                elif held is None or held + p["n"] > fit:
-                    new.append((start, -1))
-                    held = p["n"]
-                else:
-                    held += p["n"]
-        new.sort()
-        lows, depths = [x for x, _ in new], [x for _, x in new]
-    return lows
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * len(types)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in _ENTRY.split(", ")])
 
+        def close() -> None:
+            if not opened:
+                rows.extend((True, current, None, None, n, r) for _, n, r in trie.items())
 
-def _assign(lows: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [bisect_right(lows, k) - 1 for k in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *b.columns], ["bucket", "key", "n", "row_id"])
+            for label, depth, key, n, row in zip(*(c.to_pylist() for c in b.columns)):
+                if label != current:
+                    close()
+                    current, trie, opened, longest = label, CountingTrie(), False, 0
+                if opened:
+                    rows.append((False, label, depth, key, n, row))
+                    continue
+                trie.add(key, n, row)
+                longest = max(longest, len(key))
+                # keys that end within the bytes already used cannot be told apart by more of them
+                if trie.size > fit and longest > depth:
+                    rows.extend((False, label, depth, *x) for x in trie.items())
+                    trie, opened = CountingTrie(), True
+            yield flush()
+        close()
+        yield flush()
 
     return run
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count each bucket in its trie; rows come sorted by bucket."""
+def counted_buckets(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """``label, row_id, copies``: the keys of entries ``key, n, row_id`` counted, bucket by bucket.
 
-    def result(t: CountingTrie) -> pa.RecordBatch:
-        rows = [(n, r) for _, n, r in t.items()]
-        n, r = zip(*rows) if rows else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(n, pa.int64())], ["row_id", "copies"])
-
-    current, trie = None, CountingTrie()
-    for b in batches:
-        for bucket, key, n, row in zip(*(c.to_pylist() for c in b.columns)):
-            if bucket != current:
-                yield result(trie)
-                current, trie = bucket, CountingTrie()
-            trie.add(key, n, row)
-    yield result(trie)
+    A bucket that does not fit is split by as many bytes again as it has used and shuffled once more, so
+    there are at most as many passes as the longest key can be doubled; each carries open buckets only.
+    """
+    placed, done = radix_labels(keys), None
+    while True:
+        spread = placed.select("label", "depth", "key", "n", "row_id").repartition("label").sortWithinPartitions("label")
+        level = cut(spread.mapInArrow(_count_buckets(bucket_keys), _ENTRY), "buckets")
+        closed = level.filter("closed").select("label", "row_id", F.col("n").alias("copies"))
+        done = closed if done is None else done.union(closed)
+        left = level.filter("NOT closed")
+        if left.isEmpty():
+            return done
+        deeper = 2 * F.col("depth")
+        placed = left.select("key", "n", "row_id", deeper.alias("depth"), _label(deeper).alias("label"))
 
 
 def count_copies(keyed: DataFrame, key: str, row: str, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -186,9 +188,7 @@ def count_copies(keyed: DataFrame, key: str, row: str, bucket_keys: int = BUCKET
     """
     source = keyed.filter(F.col(row).isNotNull()).select(F.encode(F.coalesce(F.col(key), F.lit("")), "UTF-8").alias("key"), F.col(row).cast("long").alias("row_id"))
     counted = cut(source.mapInArrow(_count_split, "key binary, n long, row_id long"), "counted")
-    lows = radix_buckets(counted, bucket_keys)
-    placed = counted.mapInArrow(_assign(lows), "bucket int, key binary, n long, row_id long")
-    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets, "row_id long, copies long")
+    return counted_buckets(counted, bucket_keys).select("row_id", "copies")
 
 
 def _line_set(values: Column) -> Column:

@@ -2,10 +2,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from kontorium.llm import copies
-from kontorium.llm.copies import CountingTrie, canonical_contacts, count_copies, radix_buckets
+from kontorium.llm.copies import CountingTrie, canonical_contacts, count_copies, counted_buckets, radix_labels
+from kontorium.operators.skew import hot_limit
 
 KEYED = "row_id long, canonical string, key string, bucket int"
 
@@ -43,17 +45,26 @@ def test_counts(spark, fit, monkeypatch):
     assert rows(count_copies(frame(spark, data).repartition(5), "canonical", "row_id", fit)) == counted(data)
 
 
+def entries(spark, keys):
+    return spark.createDataFrame([(k.encode(), 1, i) for i, k in enumerate(keys)], "key binary, n long, row_id long")
+
+
 def test_buckets_fit(spark):
-    keys = sorted({f"prefix {i * 7919 % 1000:04d}" for i in range(1000)})
-    df = spark.createDataFrame([(k.encode(),) for k in keys], "key binary")
-    lows = radix_buckets(df, 50)
-    from bisect import bisect_right
-
-    sizes = {}
-    for k in keys:
-        b = bisect_right(lows, k.encode()) - 1
-        sizes[b] = sizes.get(b, 0) + 1
-    assert max(sizes.values()) <= 50 and len(lows) < 60
+    """Half a million keys of which many share long beginnings: every bucket holds at most fifty."""
+    df = spark.range(500_000).select(
+        F.encode(F.concat(F.when(F.col("id") % 3 == 0, "a beginning that a third shares ").otherwise(F.lit("")), F.hex(F.xxhash64("id"))), "UTF-8").alias("key"),
+        F.lit(1).cast("long").alias("n"), F.col("id").alias("row_id"),
+    )
+    got = counted_buckets(df, 50)
+    sizes = got.groupBy("label").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50
+    assert rows(got.agg(F.count("*"), F.countDistinct("row_id"), F.sum("copies"))) == [(500_000, 500_000, 500_000)]
+
+
+def test_no_label_is_hot(spark):
+    keys = sorted({f"prefix {i * 7919 % 1000:04d}" for i in range(1000)}) + ["equal"] * 300
+    found = rows(radix_labels(entries(spark, keys)).groupBy("label").agg(F.count("*"), F.countDistinct("key")))
+    assert all(n <= hot_limit(spark, 1300) or k == 1 for _, n, k in found) and sum(n for _, n, _ in found) == 1300
 
 
 def test_long_and_empty(spark):
