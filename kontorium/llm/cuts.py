@@ -1,13 +1,15 @@
 """Texts cut off before their end.
 
-Texts are range-partitioned and sorted. If a text is a strict prefix of any other, it is one of the next
-different text in the order, so one comparison per text finds every longer copy; where it was cut shows
-in the copy. Most cut texts have no longer copy. For these the ending itself is judged, and each source's
+Texts are joined with themselves by the hashes of fixed-length prefixes; those that share one are hashed up
+to the length of the shorter, which finds every text that is a strict prefix of longer copies; where it was cut
+shows in the copies. Only hashes and lengths are shuffled for all texts, whole texts only for those that share
+a beginning with a shorter one. Most cut texts have no longer copy. For these the ending itself is judged, and each source's
 limit is learned from where its broken texts pile up, which also gives the texts cut at a sentence's end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, hot_limit, spread_join
 from ..session import cut
 
 # Marks that a broken transfer leaves, and abbreviations whose point ends no sentence.
@@ -81,15 +84,33 @@ def ends_broken(text: str | None) -> bool:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        broken = [ends_broken(t.as_py()) for t in b.column(4)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(broken, pa.bool_())], ["doc_id", "source", "chars", "bytes", "broken"])
+        broken = [ends_broken(t.as_py()) for t in b.column(0)]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(broken, pa.bool_())], [*b.schema.names[1:], "broken"])
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``text, doc_id, source, chars, bytes, size, mark, steps`` of each text.
+
+    ``size`` and ``mark`` are the length in bytes and the hash (128 bits) of its bare text; ``steps`` the hashes of
+    the bare text's first 1, 4, 16, ... bytes, as far as it reaches.
+    """
+    t, bare = F.coalesce("text", F.lit("")), F.encode(bare_text(F.col("text")), "UTF-8")
+    rows = docs.filter("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"),
+        t.alias("text"), bare.alias("bare"), F.octet_length(bare).alias("size"),
+    )
+    reached = F.filter(F.array(*[F.lit(4**i) for i in range(16)]), lambda n: n <= F.col("size"))
+    steps = F.transform(reached, lambda n: F.xxhash64(F.substring("bare", F.lit(1), n)))
+    return rows.select("text", "doc_id", "source", "chars", "bytes", "size", F.unhex(F.md5("bare")).alias("mark"), steps.alias("steps"))
 
 
 def judged_endings(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, chars, bytes, broken`` of each text; a null text has no length and is not broken."""
-    t = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), t.alias("text"))
-    return rows.mapInArrow(_judge, "doc_id long, source string, chars long, bytes long, broken boolean")
+    """``doc_id, source, chars, bytes, size, mark, steps, broken`` of each text with an id.
+
+    A null text has no length and is not broken.
+    """
+    rows = _marked(docs)
+    return rows.mapInArrow(_judge, "doc_id long, source string, chars long, bytes long, size int, mark binary, steps array<long>, broken boolean")
 
 
 def _pile(judged: DataFrame, length: str) -> DataFrame:
@@ -124,68 +145,6 @@ def source_limits(judged: DataFrame) -> DataFrame:
     return best.select(F.col("s").alias("source"), F.when(kind, F.col("p.limit")).alias("char_limit"), F.when(~kind, F.col("p.limit")).alias("byte_limit"))
 
 
-_PAIR = "doc_id long, longer_id long, inside boolean, part int, edge string, text string"
-
-
-def _inside(short: str, long: str) -> bool:
-    """True where the longer text goes on within the line and sentence in which the shorter one stops."""
-    return long[len(short)] not in "\r\n" and not _END.search(short)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted texts against the next different one; the first texts of a partition and its last group go out as edges."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    rows: list[tuple] = []
-    text, ids, groups = None, [], 0
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [()] * 6
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in _PAIR.split(", ")])
-        rows.clear()
-        return out
-
-    for b in batches:
-        for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-            t = t.as_py()
-            if t != text:
-                if text and t.startswith(text):
-                    inside = _inside(text, t)
-                    rows += [(i, doc, inside, part, None, None) for i in ids]
-                text, ids, groups = t, [], groups + 1
-                if groups <= 2:  # what the last group of an earlier partition may be a prefix of
-                    rows.append((doc, None, None, part, "head", t))
-            ids.append(doc)
-        if len(rows) > 5000:
-            yield flush()
-    if text:
-        rows += [(i, None, None, part, "tail", None) for i in ids]
-        rows.append((None, None, None, part, "last", text))
-    yield flush()
-
-
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each partition's last text the next different one; rows are at most three a partition, in order."""
-    heads: list[tuple[int, int, str]] = []
-    lasts: list[tuple[int, str]] = []
-    for b in batches:
-        for doc, part, edge, t in zip(*(c.to_pylist() for c in b.columns)):
-            if edge == "head":
-                heads.append((part, doc, t))
-            else:
-                lasts.append((part, t))
-    heads.sort(key=lambda h: h[0])
-    out = []
-    for part, t in lasts:
-        nxt = next(((d, h) for p, d, h in heads if p > part and h != t), None)
-        if nxt and nxt[1].startswith(t):
-            out.append((part, nxt[0], _inside(t, nxt[1])))
-    cols = list(zip(*out)) if out else [()] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.bool_()])], ["part", "longer_id", "inside"])
-
-
 # The white space that may stand at the end of a text.
 _SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -197,39 +156,91 @@ def bare_text(c: Column) -> Column:
     return F.when(t.endswith("..."), F.rtrim(F.rtrim(t, F.lit(".")), marks)).otherwise(t)
 
 
-def longer_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, longer_id, inside``: texts that are strict prefixes of another text, with one such text.
+def _inside(short: bytes, then: bytes) -> bool:
+    """True where a text that goes on with ``then`` does so within the line and sentence in which the shorter one stops."""
+    return then not in (b"\r", b"\n") and not _END.search(short[-64:].decode("utf-8", "ignore"))
+
 
-    Marks of a broken transfer at a text's end do not count. ``inside``: the longer text goes on in the
-    line and sentence where the shorter stops. Empty texts are prefixes of nothing. Equal texts may fill
-    many partitions: the order is by text and id, and borders between partitions are compared apart.
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each text up to each of the lengths asked for, in one pass over the text."""
+    for b in batches:
+        rows: list[tuple] = []
+        for doc, text, sizes in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            data, h, at = text.as_py(), hashlib.md5(usedforsecurity=False), 0
+            for n in sorted(set(sizes)):
+                h.update(data[at:n])
+                at = n
+                rows.append((n, h.copy().digest(), doc, _inside(data[max(0, n - 64) : n], data[n : n + 1])))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        types = [pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["size", "mark", "longer_id", "inside"])
+
+
+def prefix_texts(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``mark, copies, longer_id, inside``: every distinct bare text, with the smallest id of a longer text that begins with it.
+
+    A text and a longer copy of it agree on the longest of the fixed lengths 1, 4, 16, ... that the shorter one
+    reaches. So each distinct text asks at its own such length, and longer ones that share it are hashed up
+    to the asker's end, each once for all lengths. How many lengths a text is hashed to is bounded by its
+    own length, however many texts share its beginning. Equal texts have been folded into one before.
+    ``longer_id`` is null where there is none; ``inside`` says whether any longer text goes on in the line
+    and sentence where this one stops.
+    """
+    spark = docs.sparkSession
+    texts = judged.filter("size > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("steps").alias("steps"))
+    texts = cut(texts, "texts")
+    asked = texts.select((F.size("steps") - 1).alias("step"), F.element_at("steps", -1).alias("start"), "size")
+    # lengths asked for at each beginning: no more than the beginning has bytes, times three
+    asked = asked.groupBy("step", "start").agg(F.count("*").alias("askers"), F.sort_array(F.collect_set("size")).alias("sizes"))
+    reach = texts.select("doc_id", F.col("size").alias("own"), F.posexplode("steps").alias("step", "start"))
+    total = texts.count()
+    # beginnings that many texts share; those that nobody asks at fall away in the join all the same
+    shared = cut(hot_keys(reach, ["step", "start"], total), "shared")
+    found = spread_join(reach, asked, ["step", "start"], shared)
+    found = found.withColumn("sizes", F.filter("sizes", lambda n: n < F.col("own"))).filter(F.size("sizes") > 0)
+    probes = cut(found.groupBy("doc_id").agg(F.flatten(F.collect_list("sizes")).alias("sizes")), "probes")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(bare_text(F.col("text")), "UTF-8").alias("text"))
+    hits = probes.join(bare, "doc_id").select("doc_id", "text", "sizes").mapInArrow(_probe, "size int, mark binary, longer_id long, inside boolean")
+    hits = hits.groupBy("size", "mark").agg(F.min("longer_id").alias("longer_id"), F.max("inside").alias("inside"))
+    return texts.select("size", "mark", "copies").join(hits, ["size", "mark"], "left").drop("size")
+
+
+def longer_copies(docs: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """``doc_id, longer_id, inside``: texts that are strict prefixes of another text, with the smallest such one.
+
+    Marks of a broken transfer at a text's end do not count. ``inside``: a longer text goes on in the
+    line and sentence where the shorter stops. Empty texts are prefixes of nothing; rows without an id are
+    left out. Ids should be unique; of equal texts the smallest id stands for all as the longer one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare_text(F.col("text")).alias("text")).filter("text <> ''")
-    ordered = rows.repartitionByRange("text", "doc_id").sortWithinPartitions("text", "doc_id").select("doc_id", "text")
-    pairs = cut(ordered.mapInArrow(_compare, _PAIR), "prefixes")
-    edges = pairs.filter("edge IN ('head', 'last')").select("doc_id", "part", "edge", "text").coalesce(1)
-    border = edges.mapInArrow(_stitch, "part int, longer_id long, inside boolean")
-    tails = pairs.filter("edge = 'tail'").select("doc_id", "part").join(F.broadcast(border), "part")
-    return pairs.filter("edge IS NULL").select("doc_id", "longer_id", "inside").union(tails.select("doc_id", "longer_id", "inside"))
+    judged = cut(judged_endings(docs), "endings") if judged is None else judged
+    texts = cut(prefix_texts(docs, judged), "prefixes")
+    hot = texts.filter(F.col("copies") > hot_limit(docs.sparkSession, judged.count())).select("mark")
+    found = texts.filter("longer_id IS NOT NULL").select("mark", "longer_id", "inside")
+    return spread_join(judged.filter("size > 0").select("doc_id", "mark"), found, ["mark"], hot).select("doc_id", "longer_id", "inside")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, at_limit, broken, longer_id``: every text that stops before its own end, and why.
+    """``doc_id, source, at_limit, broken, inside, longer_id``: every text that stops before its own end, and why.
 
     A text is cut if a longer copy goes on inside the line where it stops, if it ends inside a word or
     sentence, or if it has the length at which its source cuts. A complete text that is a prefix of a
-    longer one is not cut.
+    longer one is not cut. Rows without an id are left out.
     """
     judged = cut(judged_endings(docs), "endings")
-    limits = source_limits(judged).select(F.col("source").alias("s"), "char_limit", "byte_limit")
-    copies = longer_copies(docs).groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"), F.max("inside").alias("inside"))
-    # one row per source on the small side; checked where sources may be many
-    small = cut(limits, "limits")
-    side = F.broadcast(small) if small.count() <= 100_000 else small
-    full = judged.join(side, F.col("source").eqNullSafe(F.col("s")), "left").join(copies, "doc_id", "left")
+    total = judged.count()
+    limits = cut(source_limits(judged).filter("source IS NOT NULL"), "limits")
+    none = cut(source_limits(judged.filter("source IS NULL")).select("char_limit", "byte_limit"), "limits")
+    rows = judged.select("doc_id", "source", "chars", "bytes", "broken")
+    hot = cut(hot_keys(rows, ["source"], total), "sources")
+    named = spread_join(rows.filter("source IS NOT NULL"), limits, ["source"], hot, "left")
+    # texts without a source are one source, with one limit at most
+    loose = rows.filter("source IS NULL").join(F.broadcast(none), how="left")
+    limited = named.unionByName(loose)
     at_limit = F.coalesce(F.col("chars") == F.col("char_limit"), F.lit(False)) | F.coalesce(F.col("bytes") == F.col("byte_limit"), F.lit(False))
+    copies = longer_copies(docs, judged)
+    full = limited.select("doc_id", "source", at_limit.alias("at_limit"), "broken").join(copies, "doc_id", "left")
     inside = F.coalesce("inside", F.lit(False))
-    return full.select("doc_id", "source", at_limit.alias("at_limit"), "broken", inside.alias("inside"), "longer_id").filter("at_limit OR broken OR inside")
+    return full.select("doc_id", "source", "at_limit", "broken", inside.alias("inside"), "longer_id").filter("at_limit OR broken OR inside")
 
 
 def cut_shares(docs: DataFrame) -> DataFrame:

@@ -53,7 +53,26 @@ def test_longer_copies(spark, seed):
     texts = {i: (t or "").rstrip(" \n…<[") for i, t, _ in data}
     for x in got:
         a, b = texts[x["doc_id"]], texts[x["longer_id"]]
-        assert b.startswith(a) and b != a and x["inside"] == (b[len(a)] != "\n" and not a.endswith("."))
+        longer = [(k, u) for k, u in texts.items() if u != a and u.startswith(a)]
+        assert b.startswith(a) and b != a and x["longer_id"] == min(min(j for j in texts if texts[j] == u) for _, u in longer)
+        assert x["inside"] == (not a.endswith(".") and any(u[len(a)] != "\n" for _, u in longer))  # every continuation is asked
+
+
+@pytest.mark.parametrize("parts", ["8", "200"])
+def test_same_under_other_partitions(spark, parts):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    df = frame(spark, [(i, f"{i % 7} " + "word " * (i % 50) + "x" * (i % 3), "s") for i in range(400)])
+    assert {r["doc_id"] for r in longer_copies(df).collect()} == prefixes([(r["doc_id"], r["text"], "s") for r in df.collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_many_lengths_of_one_text(spark):
+    text = "".join(f"{i} " for i in range(3000))
+    df = frame(spark, [(n, text[:n], "s") for n in range(1, 1500)] + [(5000, text, "s")])
+    got = longer_copies(df)
+    assert got.count() == 1499
+    assert got.filter("inside").count() == 1499
 
 
 def test_copies_only_of_one_text_over_all_partitions(spark):
