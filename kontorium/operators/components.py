@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop
+from .skew import hot_limit, spread_join
 
 #: Edge lists up to this measured length are solved in one task (about 100 MB there).
 LOCAL_EDGES = 500_000
@@ -45,14 +46,17 @@ def _stars(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def round_(e: DataFrame) -> DataFrame:
-        d = both(e)
-        low = d.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = d.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    def lowest(d: DataFrame, low: F.Column, limit: int) -> DataFrame:
+        """``a, b, m`` of each edge, where ``m`` is what ``low`` gives over the edges at ``a``; a hub is spread over all tasks."""
+        per = d.groupBy("a").agg(low.alias("m"), F.count("*").alias("k"))
+        return spread_join(d, per.select("a", "m"), ["a"], per.filter(F.col("k") > limit).select("a"))
+
+    def round_(e: DataFrame, edges: int) -> DataFrame:
+        limit = hot_limit(e.sparkSession, 2 * edges)
+        large = lowest(both(e), F.least(F.min("b"), F.col("a")), limit).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         d2 = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low2 = d2.groupBy("a").agg(F.min("b").alias("m"))
-        linked = d2.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        return linked.union(low2.select("a", F.col("m").alias("b"))).distinct()
+        linked = lowest(d2, F.min("b"), limit)
+        return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(linked.select("a", F.col("m").alias("b"))).distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
@@ -62,7 +66,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         now = state(cur)
         if now == seen:
             return cur
-        new = cut(round_(cur), "stars")
+        new = cut(round_(cur, now[0]), "stars")
         drop(cur)
         cur, seen = new, now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
