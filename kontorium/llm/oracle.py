@@ -45,6 +45,7 @@ select group_id, field_name, row_id from c where rn = 1""",
     "p9_items": f"{_P9} select item_id, count(distinct doc_id) as documents from bg join dg using (g) group by item_id",
 }
 
+_SQL["p3_distributed"] = _SQL["p3_found"]
 _SQL["p3_group_sizes"] = f"select contacts, count(*) as groups from (select group_id, count(*) as contacts from ({_SQL['p3_found']}) group by 1) group by 1"
 
 
