@@ -95,15 +95,14 @@ def dedupe_name_tokens(parts: Column, stripped: bool = False) -> Column:
         ),
     )
     flat = F.flatten(words)
-    first = F.filter(
-        F.transform(flat, lambda w, j: F.struct(w["part"].alias("part"), w["word"].alias("word"), w["low"].alias("low"), j.alias("at"))),
-        lambda w: F.array_position(F.transform(flat, lambda x: x["low"]), w["low"]) == w["at"] + 1,
-    )
-    joined = F.transform(
+    # an array of one struct holds the words' low forms, so that they are gathered once and not for every word
+    held = F.array(F.struct(flat.alias("words"), F.transform(flat, lambda w: w["low"]).alias("lows")))
+    first = F.flatten(F.transform(held, lambda h: F.filter(h["words"], lambda w, j: F.array_position(h["lows"], w["low"]) == j + 1)))
+    parted = F.transform(F.array(first), lambda h: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(parts), F.lit(1)) - 1),
-        lambda k: F.array_join(F.transform(F.filter(first, lambda w: w["part"] == k), lambda w: w["word"]), " "),
-    )
-    return F.filter(joined, lambda s: s != "")
+        lambda k: F.array_join(F.transform(F.filter(h, lambda w: w["part"] == k), lambda w: w["word"]), " "),
+    ))
+    return F.filter(F.flatten(parted), lambda s: s != "")
 
 
 def words(c: Column) -> Column:

@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .components import LOCAL_EDGES, components
 from .contacts import ContactTable, key_index, phone_occurrences, without_spam
+from .skew import hot_limit, spread_join
 
 # Fixed value: rows a cluster may hold.
 CLUSTER_CAP = 10
-#: A key is hot with more than one in so many of all occurrences; there are fewer hot keys than this.
-HOT_SHARE = 1000
 #: Rows of a component, or links still pending after some rounds, that one task replays alone.
 REPLAY_ROWS = 200_000
 #: A round that takes off no more than one in so many pending links is the last one.
@@ -44,12 +43,14 @@ _EVENT_SCHEMA = "kind string, node long, cluster long, size int, key string, n_o
 class Clusters:
     """``members``: row_id, cluster_id (smallest row of the cluster), every row off the blocklist.
 
-    ``conflicts``: key, occurrences, total; ``conflict_rows``: key, row_id, phone_ord, source_file, source_row.
+    ``conflicts``: key, occurrences, total; ``conflict_rows``: key, row_id, phone_ord, source_file, source_row;
+    ``phones``: the ``phone_occurrences`` they came from, written.
     """
 
     members: DataFrame
     conflicts: DataFrame
     conflict_rows: DataFrame
+    phones: DataFrame
 
 
 def key_order(key: Column) -> Column:
@@ -199,23 +200,26 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
     results. A component of at most ``replay_rows`` rows is replayed as one sorted stream, a larger one
     in rounds.
     """
+    spark = t.df.sparkSession
     occ = cut(phone_occurrences(t), "occ")
+    total = occ.count()
     index = cut(key_index(occ).filter("n_rows >= 2"), "keys")
     # hot keys are hubs; they are kept out of joins by key, which would put each into one task
-    is_hot = (F.col("n_rows") > cap) & (F.col("n_rows") > occ.count() / HOT_SHARE)
+    is_hot = (F.col("n_rows") > cap) & (F.col("n_occ") > hot_limit(spark, total))
     hot = F.broadcast(cut(index.filter(is_hot).select("key", F.col("n_occ").alias("occurrences")), "hot"))
     held = occ.select("key", "row_id").distinct()
     cold = held.join(hot, "key", "left_anti")
     usable = index.filter(F.col("n_rows") <= cap).select("key", "n_occ", "first_row")
     links = cut(cold.join(usable, "key"), "links")
-    comp = components(links.select("first_row", "row_id"), "first_row", "row_id", local_edges)
-    placed = cut(links.join(comp, links.row_id == comp.v).select("root", "n_occ", "key", "row_id"), "placed")
-    large = placed.select("root", "row_id").distinct().groupBy("root").count().filter(F.col("count") > replay_rows).select("root")
-    large = F.broadcast(cut(large, "large"))  # at most one row per ``replay_rows`` rows
-    small = placed.join(large, "root", "left_anti").select("root", "n_occ", "key", F.col("row_id").alias("node"), F.lit(1).alias("weight"))
+    comp = cut(components(links.select("first_row", "row_id"), "first_row", "row_id", local_edges), "components")
+    sizes = comp.groupBy("root").agg(F.count("*").alias("rows"))
+    placed = links.join(comp, links.row_id == comp.v).select("root", "n_occ", "key", "row_id")
+    placed = cut(spread_join(placed, sizes, ["root"], sizes.filter(F.col("rows") > hot_limit(spark, total) / cap).select("root")), "placed")
+    small = placed.filter(F.col("rows") <= replay_rows).select("root", "n_occ", "key", F.col("row_id").alias("node"), F.lit(1).alias("weight"))
     events = cut(_stream(small, cap), "events")
+    large = placed.filter(F.col("rows") > replay_rows)
     if not large.isEmpty():
-        for e in _in_rounds(placed.join(large, "root", "left_semi"), cap, replay_rows):
+        for e in _in_rounds(large, cap, replay_rows):
             events = events.unionByName(e)
     moved = events.filter("kind = 'moved'").withColumnRenamed("node", "row_id")
     final = moved.groupBy("row_id").agg(F.min("cluster").alias("cluster"))
@@ -242,4 +246,4 @@ def capped_clusters(t: ContactTable, cap: int = CLUSTER_CAP, local_edges: int =
     where = t.df.select("row_id", "source_file", "source_row")
     refused_rows = occ.join(hot, "key", "left_semi").union(occ.join(hot, "key", "left_anti").join(conflicts.select("key"), "key", "left_semi"))
     conflict_rows = refused_rows.join(where, "row_id").select("key", "row_id", "phone_ord", "source_file", "source_row")
-    return Clusters(members, conflicts, conflict_rows)
+    return Clusters(members, conflicts, conflict_rows, occ)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phones import PHONE_FIELDS, identity_key, parse_phones
+from ..functions.phones import PHONE_FIELDS, identity_key, parse_phones, render_phone
 from ..functions.text import jtrim, non_blank
 
 # Header names of an export.
@@ -106,21 +106,31 @@ def explode_phones(t: ContactTable, anomalies: bool = False, keep: list[str] | N
         empty = f"array<struct<{schema}, source_label: string>>"
         cells = F.lit(None).cast(empty)
     else:
-        def labelled(v: Column, lab: Column | None) -> Column:
+        def with_label(v: Column, lab: Column | None) -> Column:
             label = F.lit(None).cast("string") if lab is None else lab
             return F.transform(parse_phones(v), lambda p: p.withField("source_label", label))
 
-        cells = F.concat(*[labelled(v, lab) for _, v, lab in slots])
+        cells = F.concat(*[with_label(v, lab) for _, v, lab in slots])
         if not anomalies:
             cells = F.filter(cells, lambda p: p["key_type"].isNotNull())
     df = t.df.select(*ids, F.posexplode(cells).alias("at", "phone"))
     return df.select(*ids, (F.col("at") + 1).alias("phone_ord"), "phone.*")
 
 
+def labelled(label: Column, default: str) -> Column:
+    """The trimmed label, or the default where it is null or blank."""
+    l = jtrim(F.coalesce(label, F.lit("")))
+    return F.when(l == "", F.lit(default)).otherwise(l)
+
+
 def phone_occurrences(t: ContactTable) -> DataFrame:
-    """``row_id, phone_ord, key`` of the phones of rows off the blocklist."""
+    """``row_id, phone_ord, key, label, value`` of the phones of rows off the blocklist, as they are written out."""
     p = explode_phones(without_spam(t))
-    return p.select("row_id", "phone_ord", identity_key(F.col("key_type"), F.col("canonical_key")).alias("key"))
+    return p.select(
+        "row_id", "phone_ord", identity_key(F.col("key_type"), F.col("canonical_key")).alias("key"),
+        labelled(F.col("source_label"), "Mobile").alias("label"),
+        render_phone(F.col("key_type"), F.col("country"), F.col("canonical_key")).alias("value"),
+    )
 
 
 def key_index(occurrences: DataFrame) -> DataFrame:

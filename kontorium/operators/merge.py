@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.phones import identity_key, render_phone
 from ..functions.text import dedupe_name_tokens, jtrim, non_blank, strip_accents
 from ..session import cut
-from .contacts import SLOT, ContactTable, explode_phones, identity_score
+from .contacts import SLOT, ContactTable, explode_phones, identity_score, labelled, phone_occurrences
 from .ordered import number_within
 
 # Phones a record may hold, and the order in which names are collapsed.
@@ -32,11 +32,6 @@ def full_name(t: ContactTable) -> Column:
     return strip_accents(jtrim(F.concat(t.cell("First Name"), F.lit(" "), t.cell("Last Name"))))
 
 
-def _labelled(label: Column, default: str) -> Column:
-    l = jtrim(F.coalesce(label, F.lit("")))
-    return F.when(l == "", F.lit(default)).otherwise(l)
-
-
 def base_rows(t: ContactTable, members: DataFrame) -> DataFrame:
     """``cluster_id, base_row, score``: the row with most identity cells filled, the earliest on ties."""
     scored = t.df.select("row_id", identity_score(t).alias("score")).join(members, "row_id")
@@ -84,7 +79,7 @@ def phone_union(t: ContactTable, members: DataFrame) -> DataFrame:
     first = p.groupBy("cluster_id", identity_key(F.col("key_type"), F.col("canonical_key")).alias("key")).agg(
         F.min(
             F.struct(
-                "row_id", "phone_ord", _labelled(F.col("source_label"), "Mobile").alias("label"),
+                "row_id", "phone_ord", labelled(F.col("source_label"), "Mobile").alias("label"),
                 render_phone(F.col("key_type"), F.col("country"), F.col("canonical_key")).alias("value"),
             )
         ).alias("p")
@@ -100,7 +95,7 @@ def slot_union(t: ContactTable, members: DataFrame, family: str, case_sensitive:
     cells = F.array(
         *[
             F.struct(
-                F.lit(n).alias("ord"), _labelled(F.lit("") if lab is None else lab, "Other").alias("label"),
+                F.lit(n).alias("ord"), labelled(F.lit("") if lab is None else lab, "Other").alias("label"),
                 F.coalesce(jtrim(v), F.lit("")).alias("value"),
             )
             for n, v, lab in slots
@@ -113,26 +108,62 @@ def slot_union(t: ContactTable, members: DataFrame, family: str, case_sensitive:
     return first.select("cluster_id", "p.*")
 
 
-def _gathered(slots: DataFrame, name: str) -> DataFrame:
-    """Slots of a cluster in order as one array of (label, value)."""
-    rows = slots.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "ord", "label", "value"))).alias("a"))
-    return rows.select("cluster_id", F.transform("a", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias(name))
+def _slot_rows(t: ContactTable, phones: DataFrame) -> DataFrame:
+    """``row_id, family, key, ord, label, value`` of all filled slots; 0 phones, 1 e-mails, 2 websites."""
+    cells = []
+    for family, name, case_sensitive in ((1, "E-mail", False), (2, "Website", True)):
+        for n, v, lab in t.slots(name):
+            value = F.coalesce(jtrim(v), F.lit(""))
+            label = labelled(F.lit("") if lab is None else lab, "Other")
+            key = value if case_sensitive else F.lower(value)
+            cells.append(F.struct(F.lit(family).alias("family"), key.alias("key"), F.lit(n).alias("ord"), label.alias("label"), value.alias("value")))
+    out = phones.select("row_id", F.lit(0).alias("family"), "key", F.col("phone_ord").alias("ord"), "label", "value")
+    if cells:
+        filled = F.filter(F.array(*cells), lambda x: x["value"] != "")
+        out = out.union(t.df.select("row_id", F.explode(filled).alias("x")).select("row_id", "x.*"))
+    return out
+
+
+def gathered_slots(t: ContactTable, members: DataFrame, phones: DataFrame) -> DataFrame:
+    """``cluster_id, phones, emails, websites``: distinct slot values of a cluster in order, as arrays of (label, value)."""
+    e = _slot_rows(t, phones).join(members, "row_id").repartition("cluster_id")
+    first = e.groupBy("cluster_id", "family", "key").agg(F.min(F.struct("row_id", "ord", "label", "value")).alias("p"))
+    rows = first.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("family", "p.row_id", "p.ord", "p.label", "p.value"))).alias("a"))
+
+    def of(family: int) -> Column:
+        own = F.filter("a", lambda x: x["family"] == family)
+        return F.transform(own, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
+
+    return rows.select("cluster_id", of(0).alias("phones"), of(1).alias("emails"), of(2).alias("websites"))
+
+
+def _cells_and_names(t: ContactTable, members: DataFrame) -> DataFrame:
+    """``backfilled`` and ``name_variants`` in one pass over the rows."""
+    scalars = t.scalars()
+    rows = t.df.join(members, "row_id").withColumn("_o", F.struct((-identity_score(t)).alias("s"), F.col("row_id").alias("r"))).withColumn("_n", full_name(t))
+    aggs = [F.count("*").alias("n_rows"), F.min_by("_n", "_o").alias("_base"), F.sort_array(F.collect_list(F.struct("row_id", "_n"))).alias("_all")]
+    for i in scalars:
+        c = F.col(f"`{t.columns[i]}`")
+        aggs += [F.min_by(c, "_o").alias(f"_b{i}"), F.min_by(F.when(non_blank(c), c), F.when(non_blank(c), F.col("row_id"))).alias(f"_f{i}")]
+    out = rows.groupBy("cluster_id").agg(*aggs)
+    raw = [F.when(non_blank(F.col(f"_b{i}")), F.col(f"_b{i}")).otherwise(F.coalesce(f"_f{i}", f"_b{i}", F.lit(""))) for i in scalars]
+    names = F.array_distinct(F.filter(F.transform("_all", lambda x: x["_n"]), lambda n: n != ""))
+    # one expression for all cells: the accent tables are planned once
+    bare = F.transform(F.array(*raw), strip_accents) if raw else F.array()
+    out = out.select("cluster_id", "n_rows", F.array_remove(names, F.col("_base")).alias("variants"), bare.alias("_s"))
+    return out.select("cluster_id", "n_rows", "variants", *[F.get("_s", F.lit(k)).alias(f"s{i}") for k, i in enumerate(scalars)])
 
 
-def merged_contacts(t: ContactTable, members: DataFrame, phone_slots: int = PHONE_SLOTS) -> Merged:
+def merged_contacts(t: ContactTable, members: DataFrame, phones: DataFrame | None = None, phone_slots: int = PHONE_SLOTS) -> Merged:
     """One record per cluster in cluster order, names collapsed and numbered.
 
     ``t`` must hold the rows of ``members`` (blocklisted rows are dropped by the join). Null cells count
     as empty. Phones beyond ``phone_slots`` are left out of the record, as the output format has it.
+    ``phones`` are the table's ``phone_occurrences``, if they are at hand.
     """
-    out = backfilled(t, members)
+    phones = phone_occurrences(t) if phones is None else phones
     none = F.array().cast("array<struct<label: string, value: string>>")
-    for name, slots in (
-        ("phones", phone_union(t, members)), ("emails", slot_union(t, members, "E-mail", False)),
-        ("websites", slot_union(t, members, "Website", True)),
-    ):
-        out = out.join(_gathered(slots, name), "cluster_id", "left")
-    out = out.join(name_variants(t, members), "cluster_id", "left")
+    out = _cells_and_names(t, members).join(gathered_slots(t, members, phones), "cluster_id", "left")
     scalars = t.scalars()
     at = {t.header[i]: i for i in reversed(scalars)}
     cells = {i: F.col(f"s{i}") for i in scalars}
@@ -211,8 +242,10 @@ def output_columns(m: Merged, widths: tuple[int, int, int]) -> tuple[list[str],
 
 
 def stats(all_rows: DataFrame, m: Merged) -> DataFrame:
-    """One row: source rows (blocklisted ones included), contacts, clusters of more than one row."""
-    rows = all_rows.select(F.lit(1).alias("source_rows"), F.lit(0).alias("contacts"), F.lit(0).alias("merged_clusters"))
-    made = m.df.select(F.lit(0), F.lit(1), (F.col("n_rows") > 1).cast("int"))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("source_rows", "contacts", "merged_clusters")]
-    return rows.union(made).agg(*sums)
+    """One row: source rows (blocklisted ones included), contacts, clusters of more than one row, and the most
+    phones, e-mails and websites of any record."""
+    counts, widths = ("source_rows", "contacts", "merged_clusters"), ("phones", "emails", "websites")
+    rows = all_rows.select(F.lit(1).alias("source_rows"), *[F.lit(0).alias(c) for c in (*counts[1:], *widths)])
+    made = m.df.select(F.lit(0), F.lit(1), (F.col("n_rows") > 1).cast("int"), *[F.size(c) for c in widths])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts]
+    return rows.union(made).agg(*sums, *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(f"most_{c}") for c in widths])

@@ -32,7 +32,8 @@ class RunReport:
 
 def resolve(t: ContactTable) -> Merged:
     """Cluster the rows of a table and merge each cluster."""
-    return merged_contacts(without_spam(t), capped_clusters(t).members)
+    c = capped_clusters(t)
+    return merged_contacts(without_spam(t), cut(c.members, "members"), c.phones)
 
 
 def run(spark: SparkSession, input_dir: str, output_dir: str, clock: Callable[[], datetime] = datetime.now) -> RunReport:

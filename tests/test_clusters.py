@@ -77,10 +77,10 @@ def test_spam_and_empty(spark):
     assert rows(c.members) == [] and rows(c.conflicts) == [] and rows(c.conflict_rows) == []
 
 
-@pytest.mark.parametrize("share", [1, 10**6])
+@pytest.mark.parametrize("limit", [10**6, 1])
 @pytest.mark.parametrize("seed", range(4))
-def test_against_model(spark, seed, share, monkeypatch):
-    monkeypatch.setattr(clusters, "HOT_SHARE", share)  # no hub is hot, or all are
+def test_against_model(spark, seed, limit, monkeypatch):
+    monkeypatch.setattr(clusters, "hot_limit", lambda *_: limit)  # no hub is hot, or all are
     r = random.Random(seed)
     n = r.randint(1, 90)
     keys = r.randint(1, 60)
