@@ -158,7 +158,9 @@ _TYPE = r"""case when regexp_full_match({0}, '[0-9]+([.,][0-9]+)?') then 'number
   when regexp_full_match({0}, '[0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}|[0-9]{{1,2}}[-./][0-9]{{1,2}}[-./]([0-9]{{4}}|[0-9]{{2}})') then 'date'
   when lower({0}) in ('true', 'false', 'yes', 'no') then 'flag' else 'text' end"""
 
-_RAW = f"""
+def _raw_cells(fields: str, types_of: str) -> str:
+    """Header cells, sound records, cells of some fields (the first of a repeated one) and their types."""
+    return f"""
 heads as (select file_id, {_UNQUOTE.format("regexp_replace(line, '^' || chr(65279), '')")} as names from raw_lines where source_row_number = 1),
 named as (select h.file_id, h.nth, {_NORM.format('h.name')} as hk, coalesce(a.field_name, h.name) as field_name
   from (select file_id, unnest(names) as name, generate_subscripts(names, 1) as nth from heads) h
@@ -168,32 +170,146 @@ shape as (select r.file_id, r.source_row_number, coalesce(line, '') as line, len
   from raw_lines r left join heads h using (file_id) where source_row_number > 1),
 parsed as (select *, {_UNQUOTE.format('line')} as cells from shape where quoted),
 good as (select * from parsed where len(cells) = width),
-flat as (select g.file_id, g.source_row_number, n.field_name, {_trimmed('g.cells[n.nth]')} as v
-  from good g join named n using (file_id)
-  where n.field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code', 'E-mail 1 - Value', 'Phone 1 - Value')),
+first_ as (select file_id, field_name, min(nth) as nth from named group by 1, 2),
+flat as (select g.file_id, g.source_row_number, n.field_name, g.cells[n.nth] as cell, {_trimmed('g.cells[n.nth]')} as v
+  from good g join first_ n using (file_id) where {fields}),
 typed as (select *, {_TYPE.format('v')} as raw_type from flat where v <> ''),
 type_counts as (select file_id, field_name, raw_type, count(*) as cells from typed
-  where field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code') group by 1, 2, 3),
+  where {types_of} group by 1, 2, 3),
 main as (select file_id, field_name, raw_type from (select *, row_number() over (partition by file_id, field_name order by cells desc, raw_type) as rn from type_counts) where rn = 1)"""
 
+
+_TYPED = "field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code')"
+_RAW = _raw_cells("n.field_name in ('Birthday', 'Starred', 'Times Contacted', 'Postal Code', 'E-mail 1 - Value', 'Phone 1 - Value')", _TYPED)
+_RAW_ALL = _raw_cells("true", "true")
+
 _DAY = r"""(case when regexp_full_match(v, '[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}') then try_cast(regexp_replace(v, '[./]', '-', 'g') as date)
   when regexp_full_match(v, '[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}') then try_cast(regexp_replace(v, '^([0-9]+)[-./]([0-9]+)[-./]([0-9]+)$', '\3-\2-\1') as date)
   when regexp_full_match(v, '[0-9]{8}') then try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] as date) end)"""
 
 _REJECTED = rf"""
 cells as (select g.file_id * 10000000 + g.source_row_number as row_id, 1 as slot, g.cells[n.nth] as v, '' as label, false as spam
-  from good g join named n using (file_id) where n.field_name = 'Phone 1 - Value'),
+  from good g join first_ n using (file_id) where n.field_name = 'Phone 1 - Value'),
 {_PARSED},
-bad as (select t.file_id, t.source_row_number from typed t left join main m using (file_id, field_name) where
+bad as (select t.file_id, t.source_row_number, case t.field_name when 'E-mail 1 - Value' then 2 when 'Birthday' then 3 when 'Starred' then 4 else 5 end as nth, t.field_name
+  from typed t left join main m using (file_id, field_name) where
   (t.field_name in ('Starred', 'Times Contacted') and t.raw_type <> m.raw_type)
   or (t.field_name = 'E-mail 1 - Value' and not regexp_full_match(v, '[^\s@]+@[^\s@]+'))
   or (t.field_name = 'Birthday' and m.raw_type <> 'text' and {_DAY} is null)
-  union select row_id // 10000000, (row_id % 10000000)::integer from phones_ where key_type is null)"""
+  union select row_id // 10000000, (row_id % 10000000)::integer, 1, 'Phone 1 - Value' from phones_ where key_type is null)"""
+
+# The fields that the mapping table knows.
+_FIELDS = [
+    "Address 1 - Formatted", "Birthday", "E-mail 1 - Value", "First Name", "Labels", "Last Name", "Nickname", "Notes", "Organization Name",
+    "Phone 1 - Label", "Phone 1 - Value", "Photo", "Postal Code", "Starred", "Times Contacted", "Website 1 - Value",
+]
+
+
+def _typed_table() -> str:
+    """One column per field with its cast, and the fields whose cell does not cast."""
+    casts = {
+        "Birthday": _DAY, "Times Contacted": "case when regexp_full_match(v, '[0-9]+([.,][0-9]+)?') then try_cast(replace(v, ',', '.') as decimal(18, 3)) end",
+        "Starred": "case when lower(v) in ('true', 'yes', '1') then true when lower(v) in ('false', 'no', '0') then false end",
+    }
+    cols, failed = [], []
+    for f in _FIELDS:
+        own = f"max(case when field_name = '{f}' and v <> '' then v end)"
+        name = "_".join("".join(x if x.isalnum() else " " for x in f.lower()).split())
+        cols.append((own, name, casts.get(f, "v").replace("v,", f"{name}_,").replace("(v)", f"({name}_)").replace("v[", f"{name}_[") if f in casts else f"{name}_"))
+        if f in casts:
+            failed.append(f"case when {name}_ is not null and {name} is null then '{f}' end")
+    inner = ", ".join(f"{own} as {name}_" for own, name, _ in cols)
+    outer = ", ".join(f"{cast} as {name}" for _, name, cast in cols)
+    return f"""with {_RAW_ALL},
+wide as (select g.file_id, g.source_row_number, {inner} from good g left join flat f using (file_id, source_row_number) group by 1, 2),
+cast_ as (select *, {outer} from wide)
+select file_id, source_row_number, {', '.join(name for _, name, _ in cols)}, array_to_string(list_filter([{', '.join(failed)}], lambda x: x is not null), '|') as failed_casts from cast_"""
+
+
+# The raw files as texts, cut into records and cells by the exports' dialect: a quote anywhere opens or closes quoting.
+_EXPORTS = r"""
+files as (select source_file, regexp_replace(string_agg(coalesce(line, '') || chr(13) || chr(10), '' order by source_row_number), '^' || chr(65279), '') as t
+  from raw_lines where source_file is not null group by 1),
+cut_ as (select source_file, list_filter(regexp_extract_all(t, '(?:[^"\n]|"[^"]*(?:"|$))*(?:\n|$)'), lambda x: x <> '') as rs from files),
+lines_ as (select source_file, unnest(rs) as r, generate_subscripts(rs, 1) as record_ord from cut_),
+bodies as (select source_file, record_ord::integer as record_ord, regexp_extract(r, '^((?:[^"\n]|"[^"]*(?:"|$))*)', 1) as body from lines_),
+raw_cells as (select source_file, record_ord, regexp_extract_all(',' || body, ',((?:[^",]|"[^"]*(?:"|$))*)', 1) as cs from bodies),
+records_ as (select source_file, record_ord, list_transform(cs, lambda c: array_to_string(list_transform(regexp_extract_all(c, '"(?:[^"]|"")*(?:"|$)|[^"]+'),
+  lambda p: case when not starts_with(p, '"') then replace(p, chr(13), '')
+    when (length(p) - length(replace(p, '"', ''))) % 2 = 0 then replace(p[2:-2], '""', '"') else replace(p[2:], '""', '"') end), '')) as cells from raw_cells),
+heads_ as (select source_file, unnest(cells) as name, generate_subscripts(cells, 1) as "at" from records_ where record_ord = 1),
+union_ as (select row_number() over (order by f) - 1 as pos, name from (select name, min(row(source_file, "at")) as f from heads_ group by 1))"""
+
+_ESCAPED = """case when regexp_matches({0}, '[,"\\r\\n]') then '"' || replace({0}, '"', '""') || '"' else {0} end"""
+_SINGLE = ["first_name", "organization_name", "address_1_formatted", "photo"]
+
+
+def _slot_cells(name: str, width: str) -> str:
+    return f"flatten(list_transform(range(1, {width} + 1), lambda i: [coalesce({name}l[i], ''), coalesce({name}v[i], '')]))"
+
+
+def _slot_heads(family: str, width: str) -> str:
+    return f"flatten(list_transform(range(1, {width} + 1), lambda i: ['{family} ' || i || ' - Label', '{family} ' || i || ' - Value']))"
+
+
+def _lists(rows: str, name: str, most: int | None) -> str:
+    """Labels and values of a cluster's slots in order, the first ``most`` of them."""
+    keep = f"where k <= {most}" if most else ""
+    return f"""{name}_ as (select cluster_id, list(label order by k) as {name}l, list(value order by k) as {name}v
+  from (select *, row_number() over (partition by cluster_id order by row_id, ord) as k from ({rows})) {keep} group by 1)"""
+
+
+def _merged() -> str:
+    """Every contact as a CSV record under the final header: names collapsed and numbered, slots 1 to the widest."""
+    def slots(cols: list[str], key: str) -> str:
+        rows = " union all ".join(f"select row_id, {i}::bigint as ord, {_trim(c)} as value from live" for i, c in enumerate(cols, 1))
+        return f"""select cluster_id, row_id, ord, 'Other' as label, value from (select m.cluster_id, e.*, row_number() over (partition by m.cluster_id, {key} order by e.row_id, ord) as rn
+  from ({rows}) e join members m using (row_id) where value <> '') where rn = 1"""
+
+    phones = f"""select cluster_id, row_id, ord, case when {_trim('label')} = '' then 'Mobile' else {_trim('label')} end as label, {_SHOWN} as value
+  from (select m.cluster_id, u.*, row_number() over (partition by m.cluster_id, u.key order by u.row_id, u.ord) as rn from usable u join members m using (row_id)) where rn = 1"""
+    parts = ", ".join(_trim(c) for c in _ORDER)
+    cells = f"""['' || first_name, '', '', '', '', '', organization_name, address_1_formatted, photo] || {_slot_cells('p', 'w.p')} || {_slot_cells('e', 'w.e')} || {_slot_cells('s', 'w.s')} || ['', '']"""
+    names = "['First Name', 'Middle Name', 'Last Name', 'Name Prefix', 'Name Suffix', 'Nickname', 'Organization Name', 'Address 1 - Formatted', 'Photo']"
+    heads = f"{names} || {_slot_heads('Phone', 'w.p')} || {_slot_heads('E-mail', 'w.e')} || {_slot_heads('Website', 'w.s')} || ['Notes', 'Labels']"
+    return rf"""with recursive {_BASE},
+filled as (select s.cluster_id, {', '.join(_backfill(c) for c in _SCALARS)} from scored s join base b using (cluster_id) group by s.cluster_id),
+full_ as (select cluster_id, row_id, strip_accents({_trim("(" + _trim('first_name') + " || ' ' || " + _trim('last_name') + ")")}) as name from scored),
+other_ as (select n.cluster_id, n.name, min(n.row_id) as nth from full_ n join base b using (cluster_id) join full_ bn on bn.row_id = b.base_row where n.name <> '' and n.name <> bn.name group by 1, 2),
+variants as (select cluster_id, list({_trim('name')} order by nth) as vs from other_ group by 1),
+pieces_ as (select f.cluster_id, [{parts}] || coalesce(vs, []) as ps from filled f left join variants using (cluster_id)),
+piece as (select cluster_id, unnest(ps) as p, generate_subscripts(ps, 1) as part from pieces_),
+words_ as (select cluster_id, part, unnest(regexp_extract_all(p, '[\p{{L}}\p{{Nd}}'']+')) as w, generate_subscripts(regexp_extract_all(p, '[\p{{L}}\p{{Nd}}'']+'), 1) as nth from piece),
+once as (select *, row_number() over (partition by cluster_id, lower(w) order by part, nth) as rn from words_),
+joined_ as (select cluster_id, string_agg(p, ' - ' order by part) as name from (select cluster_id, part, string_agg(w, ' ' order by nth) as p from once where rn = 1 group by 1, 2) group by 1),
+keyed as (select f.cluster_id, coalesce(name, '') as name, lower({_trim("string_split(coalesce(name, ''), ' - ')[1]")}) as k from filled f left join joined_ using (cluster_id)),
+numbered as (select cluster_id, case when name <> '' and row_number() over (partition by k order by cluster_id) > 1 then name || ' ' || row_number() over (partition by k order by cluster_id) else name end as full_name from keyed),
+{_lists(phones, 'p', 20)},
+{_lists(slots(['email_1_value', 'email_2_value'], 'lower(value)'), 'e', None)},
+{_lists(slots(['website_1_value'], 'value'), 's', None)},
+w as (select greatest(1, (select coalesce(max(len(pl)), 0) from p_)) as p, greatest(1, (select coalesce(max(len(el)), 0) from e_)) as e, greatest(1, (select coalesce(max(len(sl)), 0) from s_)) as s),
+out_ as (select f.cluster_id, n.full_name as first_name, organization_name, address_1_formatted, photo, pl, pv, el, ev, sl, sv from filled f join numbered n using (cluster_id)
+  left join p_ using (cluster_id) left join e_ using (cluster_id) left join s_ using (cluster_id))
+select cluster_id, array_to_string({heads}, ',') as header, array_to_string(list_transform({cells}, lambda c: {_ESCAPED.format('c')}), ',') as line from out_, w"""
+
 
 _SQL = {
     "p2_found": _packed(2),
     "p2_values": _packed(1),
-    "p6_types": f"with {_RAW} select file_id, field_name, raw_type, cells from type_counts",
+    "p6_types": f"with {_RAW_ALL} select file_id, field_name, raw_type, cells from type_counts",
+    "p6_table": _typed_table(),
+    "p7_cells": f"""with {_RAW}, {_REJECTED}
+select file_id, source_row_number, 'invalid_value' as reason, string_agg(field_name, '|' order by nth) as fields from bad group by 1, 2""",
+    "p7_loaded": f"""with {_RAW_ALL}, {_REJECTED}
+select file_id, source_row_number, f.field_name, cell from flat f anti join bad using (file_id, source_row_number)""",
+    "merged_contacts": _merged(),
+    "csv_tokenize": f"with {_EXPORTS} select source_file, record_ord, len(cells)::integer as cells, array_to_string(cells, chr(31)) as text from records_",
+    "header_union_of_exports": f"with {_EXPORTS} select pos::integer as pos, name from union_",
+    "aligned_raw_exports": f"""with {_EXPORTS},
+last_ as (select source_file, name, max("at") as "at" from heads_ group by 1, 2),
+places as (select f.source_file, list(l."at" order by u.pos) as ps from (select distinct source_file from heads_) f cross join union_ u left join last_ l on l.source_file = f.source_file and l.name = u.name group by 1)
+select source_file, record_ord as source_row, array_to_string(list_transform(list_transform(ps, lambda p: coalesce(r.cells[p], '')), lambda c: {_ESCAPED.format('c')}), ',') as line
+from records_ r join places using (source_file) where record_ord > 1""",
     "p6_found": f"""with {_RAW},
 pairs as (select file_id, lag(file_id) over (partition by account order by exported_at, file_id) as prev from contact_files where stage = 'raw' and account is not null),
 known as (select n.file_id, n.field_name, min(hk) as hk, min(m.raw_type) as raw_type from named n left join main m on m.file_id = n.file_id and m.field_name = n.field_name group by 1, 2),
@@ -208,14 +324,14 @@ union all select file_id, field_name, 'retyped' from both_ where rt <> ort""",
     "p7_found": f"""with {_RAW}, {_REJECTED}
 select file_id, source_row_number, 'broken_quoting' as reason from shape where not quoted
 union all select file_id, source_row_number, 'column_count' from parsed where width is null or len(cells) <> width
-union all select file_id, source_row_number, 'invalid_value' from bad""",
+union all select distinct file_id, source_row_number, 'invalid_value' from bad""",
     "phone_parse": f"with {_TOKENS} select row_id, phone_ord, raw, cleaned_display, canonical_key, key_type, country, category, confidence, warning from phones_",
     "phone_anomalies": f"with {_TOKENS} select row_id, raw, warning as reason from phones_ where key_type is null",
     "phone_category_counts": f"with {_TOKENS} select category, count(*) as tokens, count(distinct row_id) as contacts from phones_ group by category",
     "phone_render": f"with {_USABLE} select row_id, ord as phone_ord, {_SHOWN} as shown from usable",
     "phone_explode": f"with {_USABLE} select row_id, ord as phone_ord, key_type, canonical_key, label as source_label from usable where not spam",
-    "phone_tokens_split": f"with {_TOKENS} select row_id, row_number() over (partition by row_id order by nth) - 1 as nth, raw as token from tokens where slot = 1",
-    "accent_strip": "select row_id, strip_accents(first_name) as first_name, strip_accents(last_name) as last_name, strip_accents(address_1_formatted) as address_1_formatted from contact_rows",
+    "phone_tokens_split": f"with {_TOKENS} select row_id, slot, row_number() over (partition by row_id, slot order by nth) - 1 as nth, raw as token from tokens",
+    "accent_strip": f"select row_id, {', '.join(f'strip_accents({x}) as {x}' for x in _COLUMNS)} from contact_rows",
     "name_token_dedupe": rf"""with parts as (select row_id, unnest([{', '.join(_trim(c) for c in _ORDER)}]) as p, generate_subscripts([1,2,3,4,5,6], 1) as part from contact_rows),
 words as (select row_id, part, unnest(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+')) as w, generate_subscripts(regexp_extract_all(strip_accents(p), '[\p{{L}}\p{{Nd}}'']+'), 1) as nth from parts),
 first_ as (select *, row_number() over (partition by row_id, lower(w) order by part, nth) as rn from words),
@@ -242,12 +358,16 @@ select cluster_id, row_id, ord, case when {_trim('label')} = '' then 'Mobile' el
 k as (select *, lower(case when {_trim("string_split(base, ' - ')[1]")} = '' then base else {_trim("string_split(base, ' - ')[1]")} end) as key from n),
 c as (select *, case when base = '' then 0 else row_number() over (partition by key order by row_id) end as n from k)
 select row_id, case when n > 1 then base || ' ' || n else name end as name from c""",
-    "slot_stats": f"""with recursive {_CLUSTERS}, sizes as (select cluster_id, count(*) as n from members group by 1)
-select (select count(*) from contact_rows) as source_rows, count(*) as contacts, count_if(n > 1)::bigint as merged_clusters from sizes""",
+    "slot_stats": f"""with recursive {_CLUSTERS}, sizes as (select cluster_id, count(*) as n from members group by 1),
+p as (select least(20, count(distinct key)) as n from usable join members using (row_id) group by cluster_id),
+e as (select count(distinct lower(v)) as n from (select row_id, {_trim('email_1_value')} as v from live union all select row_id, {_trim('email_2_value')} from live) join members using (row_id) where v <> '' group by cluster_id),
+s as (select count(distinct v) as n from (select row_id, {_trim('website_1_value')} as v from live) join members using (row_id) where v <> '' group by cluster_id)
+select (select count(*) from contact_rows) as source_rows, count(*) as contacts, count_if(n > 1)::bigint as merged_clusters,
+  (select coalesce(max(n), 0) from p) as most_phones, (select coalesce(max(n), 0) from e) as most_emails, (select coalesce(max(n), 0) from s) as most_websites from sizes""",
     "csv_lines": f"select row_id, {_line(_COLUMNS)} as line from contact_rows",
     "aligned_exports": f"select source_file, source_row_number as source_row, {_line(_COLUMNS)} as line from contact_rows",
     "components_uncapped": f"""with recursive {_INDEX},
-edges as (select distinct first_row as a, row_id as b from usable join index_ using (key) where not spam and n_rows between 2 and 10),
+edges as (select distinct first_row as a, row_id as b from usable join index_ using (key) where not spam and n_rows >= 2),
 both_ as (select a, b from edges union select b, a from edges),
 reach(row_id, c) as (select a, a from both_ union select b, c from reach join both_ on a = reach.row_id where c < b)
 select row_id, min(c) as component from reach group by row_id""",

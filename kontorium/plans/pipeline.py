@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clusters import capped_clusters
-from ..operators.contacts import ContactTable, without_spam
+from ..operators.contacts import ContactTable, from_table, without_spam
 from ..operators.merge import Merged, merged_contacts, output_columns, slot_widths, stats
 from ..session import cut, ship
 from ..sources.exports import list_exports, read_contacts
+from ..sources.files import is_folder, same_place
 from ..sources.sink import clear_outputs, output_name, write_csv
 
 
@@ -36,29 +37,39 @@ def resolve(t: ContactTable) -> Merged:
     return merged_contacts(without_spam(t), cut(c.members, "members"), c.phones)
 
 
+def export(contacts: ContactTable | DataFrame, path: str) -> RunReport:
+    """Resolve a table and write it to the CSV file ``path`` (a path or URI); an existing file is replaced.
+
+    ``contacts`` is a ContactTable or a table with the columns of contact_rows. An empty table gives a file
+    with its header only.
+    """
+    t = contacts if isinstance(contacts, ContactTable) else from_table(contacts)
+    ship(t.df.sparkSession)
+    m = resolve(t)
+    m = Merged(cut(m.df, "merged"), m.header, m.scalars)
+    header, columns = output_columns(m, slot_widths(m))
+    write_csv(m.df, header, columns, "cluster_id", path)
+    s = stats(t.df, m).first()
+    return RunReport(path, s["source_rows"], s["contacts"], s["merged_clusters"])
+
+
 def run(spark: SparkSession, input_dir: str, output_dir: str, clock: Callable[[], datetime] = datetime.now) -> RunReport:
     """Clear the output folder, then read, resolve and write; a missing or empty input only reports.
 
     The output folder must not be the input folder, whose files the clearing would delete.
     """
-    if os.path.realpath(input_dir) == os.path.realpath(output_dir):
+    if same_place(spark, input_dir, output_dir):
         raise ValueError("the output folder is the input folder")
     ship(spark)
-    clear_outputs(output_dir)
-    if not os.path.isdir(input_dir):
+    clear_outputs(spark, output_dir)
+    if not is_folder(spark, input_dir):
         return RunReport(None, message=f"no input folder: {input_dir}")
-    files = list_exports(input_dir)
+    files = list_exports(spark, input_dir)
     if not files:
         return RunReport(None, message=f"no CSV files in {input_dir}")
     t = read_contacts(spark, input_dir)
-    t = t.with_df(cut(t.df, "rows"))
-    m = resolve(t)
-    m = Merged(cut(m.df, "merged"), m.header, m.scalars)
-    header, columns = output_columns(m, slot_widths(m))
-    path = os.path.join(output_dir, output_name(clock()))
-    write_csv(m.df, header, columns, "cluster_id", path)
-    s = stats(t.df, m).first()
-    return RunReport(path, s["source_rows"], s["contacts"], s["merged_clusters"], len(files))
+    done = export(t.with_df(cut(t.df, "rows")), output_dir.rstrip("/") + "/" + output_name(clock()))
+    return replace(done, files=len(files))
 
 
 def main(args: list[str]) -> None:

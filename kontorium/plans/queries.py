@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.phones import phone_tokens, render_phone
-from ..functions.text import csv_escape, dedupe_name_tokens, strip_accents
+from ..functions.text import dedupe_name_tokens, strip_accents
 from ..operators import contacts as c
 from ..operators import merge as m
 from ..operators.clusters import capped_clusters
 from ..operators.components import components
 from ..operators.keycounts import counts_per_key
 from ..operators.packed import LABELS, NOTES, split_packed
-from ..operators.rawfiles import TYPED_FIELDS, load_raw, path_types, path_values, rejects, schema_changes, typed_table
-from ..session import cut, shared_folder, ship
+from ..operators.rawfiles import load_raw, path_types, path_values, rejects, schema_changes, typed_table
+from ..operators.skew import hot_limit, spread_join
+from ..session import cut, shared_folder, ship, written
 from ..sources.exports import header_union, read_contacts, read_records
+from ..sources.sink import csv_line, header_line
 from .pipeline import resolve
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,14 +84,17 @@ def phone_explode(spark, d):
 
 @query
 def phone_tokens_split(spark, d):
-    r = table(spark, d, "contact_rows").select("row_id", F.posexplode(phone_tokens(F.col("phone_1_value"))).alias("nth", "token"))
-    return r.select("row_id", F.col("nth").cast("long").alias("nth"), "token")
+    """The tokens of both phone cells, before any rule."""
+    slots = F.array(*[F.struct(F.lit(n).alias("slot"), phone_tokens(F.col(f"phone_{n}_value")).alias("tokens")) for n in (1, 2)])
+    r = table(spark, d, "contact_rows").select("row_id", F.explode(slots).alias("x")).select("row_id", "x.slot", F.posexplode("x.tokens").alias("nth", "token"))
+    return r.select("row_id", "slot", F.col("nth").cast("long").alias("nth"), "token")
 
 
 @query
 def accent_strip(spark, d):
     r = table(spark, d, "contact_rows")
-    return r.select("row_id", *[strip_accents(F.col(x)).alias(x) for x in ("first_name", "last_name", "address_1_formatted")])
+    bare = r.select("row_id", F.transform(F.array(*c.TABLE_HEADERS), strip_accents).alias("cells"))
+    return bare.select("row_id", *[F.get("cells", F.lit(i)).alias(x) for i, x in enumerate(c.TABLE_HEADERS)])
 
 
 @query
@@ -111,10 +116,12 @@ def phone_key_index(spark, d):
 
 @query
 def components_uncapped(spark, d):
-    """Contacts linked by shared phones that at most ten contacts hold, directly or indirectly."""
-    occ = cut(c.phone_occurrences(_contacts(spark, d)), "occ")
-    keys = c.key_index(occ).filter("n_rows BETWEEN 2 AND 10")
-    return components(occ.join(keys, "key").select("first_row", "row_id"), "first_row", "row_id").select(F.col("v").alias("row_id"), F.col("root").alias("component"))
+    """Contacts linked by shared phones, directly or indirectly, however many hold one."""
+    occ = cut(c.phone_occurrences(_contacts(spark, d)).select("key", "row_id"), "occ")
+    keys = cut(c.key_index(occ).filter("n_rows >= 2"), "keys")
+    hot = keys.filter(F.col("n_occ") > hot_limit(spark, occ.count())).select("key")
+    links = spread_join(occ, keys.select("key", "first_row"), ["key"], hot)
+    return components(links, "first_row", "row_id").select(F.col("v").alias("row_id"), F.col("root").alias("component"))
 
 
 @query
@@ -189,20 +196,19 @@ def slot_stats(spark, d):
 
 @query
 def merged_contacts(spark, d):
-    """The run's output: every contact with its final columns, slots in order."""
+    """The run's output: every contact as its record, with the header the records have."""
     t = _contacts(spark, d)
     out = resolve(t)
     out = m.Merged(cut(out.df, "merged"), out.header, out.scalars)
     header, columns = m.output_columns(out, m.slot_widths(out))
-    names = [h.lower().replace(" - ", "_").replace(" ", "_").replace("-", "") for h in header]
-    return out.df.select("cluster_id", *[x.alias(n) for x, n in zip(columns, names)])
+    return out.df.select("cluster_id", F.lit(header_line(header)).alias("header"), csv_line(columns).alias("line"))
 
 
 @query
 def csv_lines(spark, d):
     """The records of the table as CSV lines."""
     t = _contacts(spark, d)
-    return t.df.select("row_id", F.concat_ws(",", *[csv_escape(F.col(x)) for x in t.columns]).alias("line"))
+    return t.df.select("row_id", csv_line([F.col(x) for x in t.columns]).alias("line"))
 
 
 def _mounted(spark: SparkSession, folder: str) -> str:
@@ -215,12 +221,11 @@ def _mounted(spark: SparkSession, folder: str) -> str:
     return uri.getPath()
 
 
-def _export_folder(spark: SparkSession, d: str) -> str:
-    """The loaded files of contact_rows written out as exports, for the queries that read CSV files."""
+def _write_exports(spark: SparkSession, lines: DataFrame, head: str | None = None) -> str:
+    """``source_file, at, line`` written out as one file per source, after a common header line if one is given."""
     path = os.path.join(_mounted(spark, shared_folder(spark)), f"kontorium-exports-{uuid.uuid4().hex}")
-    t = _contacts(spark, d)
-    head = ",".join(t.header)
-    lines = t.df.select("source_file", "source_row", F.concat_ws(",", *[csv_escape(F.col(x)) for x in t.columns]).alias("line"))
+    os.makedirs(path, exist_ok=True)
+    written(spark, path)
 
     def records(batches):
         for b in batches:
@@ -228,37 +233,57 @@ def _export_folder(spark: SparkSession, d: str) -> str:
 
     def write(batches):
         for name, rows in groupby(records(batches), lambda r: r[0]):
-            os.makedirs(path, exist_ok=True)
             part = os.path.join(path, f"{name}.{uuid.uuid4().hex}.part")  # a task that runs twice leaves one whole file
             with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(head + "\r\n")
+                if head is not None:
+                    f.write(head + "\r\n")
                 f.writelines(line + "\r\n" for _, line in rows)
             os.replace(part, os.path.join(path, name))
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["source_file"])
 
-    placed = lines.repartition("source_file").sortWithinPartitions("source_file", "source_row").select("source_file", "line")
+    placed = lines.filter("source_file IS NOT NULL").repartition("source_file").sortWithinPartitions("source_file", "at").select("source_file", "line")
     placed.mapInArrow(write, "source_file string").count()
     return path
 
 
+def _export_folder(spark: SparkSession, d: str) -> str:
+    """The loaded files of contact_rows written out as exports, all with one header."""
+    t = _contacts(spark, d)
+    return _write_exports(spark, t.df.select("source_file", F.col("source_row").alias("at"), csv_line([F.col(x) for x in t.columns]).alias("line")), header_line(t.header))
+
+
+def _raw_folder(spark: SparkSession, d: str) -> str:
+    """The raw files as they were, whose headers differ and some of whose records are damaged."""
+    raw = table(spark, d, "raw_lines")
+    return _write_exports(spark, raw.select("source_file", F.col("source_row_number").alias("at"), F.coalesce("line", F.lit("")).alias("line")))
+
+
 @query
 def csv_tokenize(spark, d):
-    """Exports written from the table and read back by the tokenizer: cells per record."""
-    r = read_records(spark, _export_folder(spark, d))
+    """The raw files read by the tokenizer: cells per record."""
+    r = read_records(spark, _raw_folder(spark, d))
     return r.select("source_file", "record_ord", F.size("cells").alias("cells"), F.array_join("cells", "\x1f").alias("text"))
 
 
 @query
 def header_union_of_exports(spark, d):
-    names = header_union(read_records(spark, _export_folder(spark, d), heads_only=True))
+    """The header names of the raw files, in the order in which they first appear."""
+    names = header_union(read_records(spark, _raw_folder(spark, d), heads_only=True))
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
 
 
 @query
 def aligned_exports(spark, d):
-    """The same exports as one aligned table."""
+    """Exports of one header, written from the table and read back as one table."""
     t = read_contacts(spark, _export_folder(spark, d))
-    return t.df.select("source_file", "source_row", F.concat_ws(",", *[csv_escape(F.col(x)) for x in t.columns]).alias("line"))
+    return t.df.select("source_file", "source_row", csv_line([F.col(x) for x in t.columns]).alias("line"))
+
+
+@query
+def aligned_raw_exports(spark, d):
+    """The raw files as one table under the union of their headers."""
+    t = read_contacts(spark, _raw_folder(spark, d))
+    return t.df.select("source_file", "source_row", csv_line([F.col(x) for x in t.columns]).alias("line"))
 
 
 @query
@@ -304,13 +329,7 @@ def p6_table(spark, d):
 
 @query
 def p6_types(spark, d):
-    """Types of the fields whose change of type counts."""
-    return path_types(_raw(spark, d)[1]).filter(F.col("field_name").isin(*TYPED_FIELDS))
-
-
-@query
-def p6_all_types(spark, d):
-    """Types of every path of every file."""
+    """How many cells of each path of a file have each raw type."""
     return path_types(_raw(spark, d)[1])
 
 
@@ -329,11 +348,11 @@ def p7_cells(spark, d):
 
 @query
 def p7_loaded(spark, d):
-    """All records without a reason, as JSON of field and cell."""
+    """All records without a reason, one row per field."""
     _, records = _raw(spark, d)
     bad = rejects(records, path_types(records)).select("file_id", "source_row_number")
     good = path_values(records).join(bad, ["file_id", "source_row_number"], "left_anti")
-    return good.select("file_id", "source_row_number", F.to_json("path_values").alias("cells"))
+    return good.select("file_id", "source_row_number", F.explode("path_values").alias("field_name", "cell"))
 
 
 def all_queries() -> dict[str, Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,10 +33,16 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder of its own; on a cluster it is an error,
+    since every host would write to its own disk.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that all hosts share in spark.checkpoint.dir")
     key = spark.sparkContext.applicationId
     if key not in _OWN_FOLDERS:
         _OWN_FOLDERS[key] = tempfile.mkdtemp(prefix="kontorium-")
@@ -77,12 +84,17 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kontorium-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    written(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kontorium_path = path  # for drop()
     return out
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with the tables that ``cut`` writes."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_kontorium_path", None)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.contacts import ContactTable
+from . import files
 
 _MARK = re.compile('[",\r\n]')
 _CHUNK = 1 << 20
@@ -21,9 +22,9 @@ _CHUNK = 1 << 20
 _PARTITION_BYTES, _OPEN_BYTES = 16 << 20, 256 << 10
 
 
-def list_exports(folder: str) -> list[str]:
-    """Paths that match *.csv in a folder, not below it, in path order; names may begin with _ or a dot."""
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".csv"))
+def list_exports(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path or URI, bytes) of what matches *.csv in a folder, not below it, in path order; names may begin with _ or a dot."""
+    return files.list_files(spark, folder, ".csv")
 
 
 def tokenize(chunks: Iterable[str]) -> Iterator[list[str]]:
@@ -79,7 +80,7 @@ def read_text(path: str) -> Iterator[str]:
     """Chunks of a UTF-8 file, wrong bytes replaced, one leading byte order mark dropped."""
     decode = codecs.getincrementaldecoder("utf-8")("replace").decode
     first = True
-    with open(path, "rb") as f:
+    with files.open_input(path) as f:
         while True:
             raw = f.read(_CHUNK)
             text = decode(raw, final=not raw)
@@ -103,7 +104,7 @@ class _Files(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, width: int | None) -> None:
-        self.folder = options["path"]
+        self.files = json.loads(options["files"])
         self.header = json.loads(options["header"]) if "header" in options else None
         self.heads_only = options.get("headsonly", "false") == "true"
 
@@ -111,8 +112,8 @@ class _Reader(DataSourceReader):
         """Neighbouring files together up to ``_PARTITION_BYTES``; opening one counts as reading some."""
         parts: list[list[tuple[int, str]]] = []
         room = 0
-        for i, p in enumerate(list_exports(self.folder)):
-            cost = _OPEN_BYTES + (0 if self.heads_only else os.path.getsize(p))
+        for i, (p, size) in enumerate(self.files):
+            cost = _OPEN_BYTES + (0 if self.heads_only else size)
             if not parts or cost > room:
                 parts.append([])
                 room = _PARTITION_BYTES
@@ -163,9 +164,10 @@ class _Reader(DataSourceReader):
 
 
 class ContactExports(DataSource):
-    """``contact_exports``: the records of a folder's exports; a file is read by one task, small ones together.
+    """``contact_exports``: the records of exports; a file is read by one task, since whether a line break ends a record
+    depends on all quotes before it; small files are read together.
 
-    Options: ``path``; ``headsOnly`` reads only each first record; ``header`` (a JSON list) aligns the
+    Options: ``files`` (a JSON list of paths and sizes, as ``list_exports`` gives them); ``headsOnly`` reads only each first record; ``header`` (a JSON list) aligns the
     records after the first to these columns: the last of a repeated name wins, missing cells are ''
     and surplus ones are dropped.
     """
@@ -189,7 +191,8 @@ class ContactExports(DataSource):
 def read_records(spark: SparkSession, folder: str, heads_only: bool = False) -> DataFrame:
     """``file_rank, source_file, record_ord, cells`` of every record; record 1 is a file's header."""
     spark.dataSource.register(ContactExports)
-    return spark.read.format("contact_exports").option("headsOnly", str(heads_only).lower()).load(folder)
+    found = json.dumps(list_exports(spark, folder))
+    return spark.read.format("contact_exports").option("files", found).option("headsOnly", str(heads_only).lower()).load()
 
 
 def header_union(records: DataFrame) -> list[str]:
@@ -206,7 +209,8 @@ def read_contacts(spark: SparkSession, folder: str) -> ContactTable:
     an empty table.
     """
     header = header_union(read_records(spark, folder, heads_only=True))
-    df = spark.read.format("contact_exports").option("header", json.dumps(header)).load(folder)
+    found = json.dumps(list_exports(spark, folder))
+    df = spark.read.format("contact_exports").option("files", found).option("header", json.dumps(header)).load()
     cols = [f"c{i}" for i in range(len(header))]
     row_id = F.col("file_rank").cast("long") * F.lit(1 << 32) + F.col("record_ord")
     return ContactTable(df.select(row_id.alias("row_id"), "source_file", F.col("record_ord").alias("source_row"), *cols), header, cols)

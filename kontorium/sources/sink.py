@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import shutil
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_escape
-
+from . import files
 
 # The format of the output's file name.
 NAME_FORMAT = "%Y%m%d_%H%M%S"
@@ -33,28 +30,30 @@ def escape_text(v: str) -> str:
     return '"' + v.replace('"', '""') + '"' if any(x in v for x in ',"\r\n') else v
 
 
+def header_line(header: list[str]) -> str:
+    """The header record."""
+    return ",".join(escape_text(h) for h in header)
+
+
 def write_csv(df: DataFrame, header: list[str], columns: list, order: str, path: str) -> None:
-    """Write ``columns`` of ``df`` by ``order`` to the file ``path``, after a header record.
+    """Write ``columns`` of ``df`` by ``order`` to the file ``path`` (a path or URI), after a header record.
 
-    Executors write sorted parts beside the file; the driver only appends their bytes to it, so no
-    task or process holds the whole output.
+    Executors write sorted parts beside the file, which the file system then joins, so no task or process
+    holds the whole output. The parts must hold the bytes that were written, else it fails.
     """
-    parts = path + ".parts"
+    parts, seen = path + ".parts", Observation()
     lines = df.select(F.col(order).alias("_o"), csv_line(columns).alias("value")).orderBy("_o").select("value")
+    lines = lines.observe(seen, F.sum(F.octet_length("value") + 2).alias("bytes"))
     lines.write.mode("overwrite").option("lineSep", "\r\n").text(parts)
-    with open(path, "wb") as out:
-        out.write((",".join(escape_text(h) for h in header) + "\r\n").encode())
-        for part in sorted(glob.glob(os.path.join(parts, "part-*"))):
-            with open(part, "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(parts)
+    files.join_parts(df.sparkSession, (header_line(header) + "\r\n").encode(), parts, path, seen.get["bytes"] or 0)
+    files.delete(df.sparkSession, parts)
 
 
-def clear_outputs(folder: str) -> None:
+def clear_outputs(spark: SparkSession, folder: str) -> None:
     """Make the folder and delete the *.csv files in it, ignoring those that resist."""
-    os.makedirs(folder, exist_ok=True)
-    for f in glob.glob(os.path.join(glob.escape(folder), "*.csv")) + glob.glob(os.path.join(glob.escape(folder), ".*.csv")):
+    files.make_folder(spark, folder)
+    for f, _ in files.list_files(spark, folder, ".csv"):
         try:
-            os.remove(f)
-        except OSError:
+            files.delete(spark, f)
+        except Exception:  # noqa: BLE001 - whatever the file system says
             pass

@@ -4,7 +4,8 @@ from datetime import datetime
 import pytest
 
 from kontorium.plans import queries
-from kontorium.plans.pipeline import main, run
+from kontorium.plans.pipeline import export, main, run
+from kontorium.sources import files
 from kontorium.sources.exports import header_union, list_exports, read_contacts, read_csv, read_records, tokenize
 from kontorium.sources.sink import output_name
 
@@ -47,7 +48,7 @@ def test_union_and_alignment(spark, tmp_path):
     d = str(tmp_path / "in")
     write(d, _b="B,a.x,B\n1,2,3\n4\n5,6,7,8\n", c="C,B\nu,v\n\n", d="", e="Only\n")
     (tmp_path / "in" / "skip.CSV").write_text("Z\n1\n")
-    assert [os.path.basename(p) for p in list_exports(d)] == ["_b.csv", "c.csv", "d.csv", "e.csv"]
+    assert [os.path.basename(p) for p, _ in list_exports(spark, d)] == ["_b.csv", "c.csv", "d.csv", "e.csv"]
     assert header_union(read_records(spark, d)) == ["B", "a.x", "C", "Only"]
     t = read_contacts(spark, d)
     got = sorted((r["source_file"], r["source_row"], *[r[c] for c in t.columns]) for r in t.df.collect())
@@ -98,6 +99,28 @@ def test_no_input(spark, tmp_path, capsys):
         run(spark, out, out)
 
 
+def test_uris_and_missing_parts(spark, tmp_path, monkeypatch):
+    write(str(tmp_path / "input"), a=IN)
+    r = run(spark, f"file://{tmp_path}/input", f"file://{tmp_path}/output", lambda: datetime(2024, 5, 6, 7, 8, 9))
+    assert open(files.bare_path(r.output), encoding="utf-8", newline="").read() == OUT
+    with pytest.raises(ValueError):
+        run(spark, f"file://{tmp_path}/output", str(tmp_path / "output"))
+    real = files.list_files
+    monkeypatch.setattr(files, "list_files", lambda s, d, end="": [] if d.endswith(".parts") else real(s, d, end))
+    with pytest.raises(RuntimeError, match="0 bytes of"):
+        run(spark, str(tmp_path / "input"), str(tmp_path / "output"))
+
+
+def test_export_of_a_table(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/contact_rows.parquet")
+    r = export(rows, str(tmp_path / "x.csv"))
+    want = {x["line"] for x in queries.merged_contacts(spark, sf).collect()}
+    assert set(open(r.output, encoding="utf-8", newline="").read().split("\r\n")[1:-1]) >= {x for x in want if "\n" not in x}
+    assert (r.source_rows, r.contacts) == (rows.count(), queries.merged_contacts(spark, sf).count())
+    assert export(rows.limit(0), str(tmp_path / "y.csv")).contacts == 0
+    assert open(tmp_path / "y.csv", newline="").read().startswith("First Name,Middle Name")
+
+
 def test_output_name():
     assert output_name(datetime(2024, 1, 2, 3, 4, 5)) == "20240102_030405_google_reimport.csv"
 

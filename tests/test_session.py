@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from kontorium import session
 
 
@@ -29,3 +31,18 @@ def test_ship_once(spark):
     n = len(spark.sparkContext._python_includes)
     session.ship(spark)
     assert len(spark.sparkContext._python_includes) == n and "kontorium.zip" in spark.sparkContext._python_includes
+
+
+def test_cluster_needs_a_shared_folder():
+    class OnCluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(OnCluster)
