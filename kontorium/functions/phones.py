@@ -1,7 +1,9 @@
-"""Phone cells: tokens, rules by precedence, keys and rendering, all as native columns."""
+"""Phone cells: tokens, rules by precedence, keys and rendering as native columns; ``parse_field`` for single texts."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,3 +144,77 @@ def render_phone(key_type: Column, country: Column, key: Column) -> Column:
         .when(ten & (country == "US"), F.concat(F.lit("+1"), key))
         .otherwise(key)
     )
+
+
+@dataclass(frozen=True)
+class Phone:
+    """A token of a phone cell; ``key_type`` and ``canonical_key`` are None where no number can be made of it."""
+
+    raw: str
+    cleaned_display: str
+    canonical_key: str | None
+    key_type: str | None
+    country: str | None
+    category: str
+    confidence: str
+    warning: str | None
+
+
+_CONTROLS = "".join(map(chr, range(0x21)))
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+
+
+def _national(d: str) -> dict:
+    """Key, country, category and confidence of digits without a country prefix."""
+    n = len(d)
+    if n >= 12 and d.startswith("01"):
+        kind = ("MX", "MX_TOLLFREE_01")
+    elif n == 10:
+        kind = ("UNKNOWN", "BARE_10")
+    else:
+        kind = {(11, "1"): ("US", "BARE_11_LEADING1"), (12, "52"): ("MX", "BARE_12_COUNTRY52"), (13, "521"): ("MX", "BARE_13_COUNTRY521")}.get((n, d[: max(n - 10, 0)]))
+    if kind:
+        return {"canonical_key": d[-10:], "key_type": "TEN_DIGIT", "country": kind[0], "category": kind[1], "confidence": "MEDIUM"}
+    if n <= 9:
+        return {"key_type": "RAW_SHORT", "country": "UNKNOWN", "category": f"{SHORT_CATEGORY if n > 4 else VERY_SHORT_CATEGORY}{n}", "confidence": "LOW"}
+    return {"warning": f"{WRONG_LENGTH}{n}"}
+
+
+def _international(d: str) -> dict:
+    """The same for digits after a plus sign or two zeros."""
+    if d.startswith("52"):
+        rest = d[3:] if len(d) == 13 and d[2] == "1" else d[2:]
+        found = {"canonical_key": d[-10:], "key_type": "TEN_DIGIT", "country": "MX", "category": "E164_MX", "confidence": "HIGH"}
+        return found if len(rest) >= 10 else {"warning": MX_TOO_SHORT + d}
+    if len(d) == 11 and d[0] == "1":
+        return {"canonical_key": d[1:], "key_type": "TEN_DIGIT", "country": "US", "category": "E164_US", "confidence": "HIGH"}
+    if len(d) >= 8:
+        return {"canonical_key": "+" + d, "key_type": "E164_FULL", "country": "OTHER", "category": "E164_OTHER_COUNTRY", "confidence": "HIGH"}
+    return {"warning": PLUS_TOO_SHORT + d}
+
+
+def parse_field(cell: str | None) -> tuple[list[Phone], list[Phone]]:
+    """(usable phones, rejected tokens) of one cell, each in order; the same rules as ``parse_phones``.
+
+    For single texts outside a table. None and blank cells give two empty lists.
+    """
+    usable: list[Phone] = []
+    rejected: list[Phone] = []
+    for raw in filter(None, (t.strip(_CONTROLS) for t in (cell or "").split(":::"))):
+        shown = raw.translate(_FOLD).strip(_CONTROLS)
+        d = "".join(ch for ch in shown if ch in "0123456789")
+        zeros = False
+        if not d:
+            found = {"warning": NO_DIGITS}
+        elif shown.startswith("+"):
+            found = _international(d)
+        elif zeros := d.startswith("00") and len(d) >= 10:
+            found = _international(d[2:])
+        else:
+            found = _national(d)
+        full = {"canonical_key": shown if found.get("key_type") == "RAW_SHORT" else None, "key_type": None, "country": None, "category": "ANOMALY", "confidence": "LOW", "warning": None} | found
+        if zeros:
+            full["category"] = full["category"].join(ZEROS_CATEGORY)
+        phone = Phone(raw, shown, **full)
+        (rejected if phone.key_type is None else usable).append(phone)
+    return usable, rejected

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from kontorium.functions.phones import parse_phones, render_phone
+from kontorium.functions.phones import parse_field, parse_phones, render_phone
 
 # raw, key type, key, country, category, confidence or warning
 GOLDEN = [
@@ -60,3 +62,17 @@ def test_render(spark):
     data = [("TEN_DIGIT", "MX", "1"), ("TEN_DIGIT", "US", "1"), ("TEN_DIGIT", "UNKNOWN", "1"), ("E164_FULL", "OTHER", "+44"), ("RAW_SHORT", "UNKNOWN", "*86")]
     df = spark.createDataFrame(data, "t string, c string, k string")
     assert [r[0] for r in df.select(render_phone(F.col("t"), F.col("c"), F.col("k"))).collect()] == ["+521", "+11", "1", "+44", "*86"]
+
+
+def test_single_texts_follow_the_same_rules(spark, sf):
+    r = random.Random(3)
+    cells = [g[0] for g in GOLDEN] + [x for row in spark.read.parquet(f"{sf}/contact_rows.parquet").select("phone_1_value", "phone_2_value").collect() for x in row]
+    lead = ["", "+", "00", "01", "1", "52", "521", "+52", "+521", "+1", "0052", "(+52) ", "*", "x", "\u00a0", "\u2013"]
+    cells += [":::".join(r.choice(lead) + "".join(r.choice("0123456789 -\u2012\u0663") for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 3))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, v string").select("i", parse_phones(F.col("v")).alias("p"))
+    for row in df.collect():
+        mine = [tuple(p) for p in row["p"]]
+        usable, rejected = (sorted(vars(p).items() for p in x) for x in parse_field(cells[row["i"]]))
+        want = [sorted(p.asDict().items() for p in row["p"] if (p["key_type"] is None) == bad) for bad in (False, True)]
+        assert [[dict(x) for x in usable], [dict(x) for x in rejected]] == [[dict(x) for x in w] for w in want], cells[row["i"]]
+        assert len(mine) == len(usable) + len(rejected)
