@@ -1,6 +1,6 @@
 """Counts per key where a few keys hold most rows: dense accumulator arrays over equal splits.
 
-Rows are first reduced to one per (key, owner), spread by both, so splits are equal whatever the keys.
+Rows are first reduced to the distinct items and owners of each key, spread by both, so splits are equal whatever the keys.
 Each split encodes its keys by a dictionary of its own, counts with ``numpy.bincount`` into dense arrays
 and emits these cut into blocks by key hash. Blocks of the same number are summed by scattering into the
 array of the merged dictionary. The hottest key thus costs one array entry per split, not its rows.
@@ -121,17 +121,21 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts_per_key(df: DataFrame, keys: list[str], item: str, owner: str) -> DataFrame:
     """``keys..., items, owners``: distinct ``item`` and distinct ``owner`` values of each key.
 
-    An item belongs to one key and owner; rows delivered twice count once. Key columns are strings; a
+    Rows delivered twice count once, and so does an item under several owners. Key columns are strings; a
     null among them is a key value of its own, null items and owners are not counted, as in SQL. Other
     columns are ignored, whatever their names. Empty input gives no rows.
     """
     spark = df.sparkSession
-    rows = df.select(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys)], F.col(item).alias("item"), F.col(owner).alias("owner"))
+    kinds = dict(df.select(F.col(item).alias("item"), F.col(owner).alias("owner")).dtypes)
+    one_type = "string" if kinds["item"] != kinds["owner"] else kinds["item"]
+    values = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).cast(one_type).alias("value")) for n, c in enumerate((item, owner))])
     names = [f"k{i}" for i in range(len(keys))]
-    once = rows.groupBy(*names, "owner", "item").agg(F.lit(1).alias("one"))
-    per_owner = once.groupBy(*names, "owner").agg(F.count("item").alias("items"))
+    rows = df.select(*[F.col(c).cast("string").alias(k) for c, k in zip(keys, names)], F.explode(values).alias("x"))
+    # spread by key and value, so that the splits are equal whatever the keys
+    once = rows.select(*names, "x.kind", "x.value").distinct()
     n_blocks = 8 * shuffle_width(spark)
-    splits = per_owner.select(_encode_key(names).alias("key"), "items", F.col("owner").isNotNull().cast("long").alias("owners"))
+    counts = [(F.col("value").isNotNull() & (F.col("kind") == n)).cast("long").alias(c) for n, c in enumerate(("items", "owners"))]
+    splits = once.select(_encode_key(names).alias("key"), *counts)
     splits = splits.select("key", F.pmod(F.hash("key"), F.lit(n_blocks)).alias("block"), "items", "owners")
     parts = splits.mapInArrow(_count_split, _BLOCK_SCHEMA).repartition("block").sortWithinPartitions("block")
     summed = parts.mapInArrow(_sum_blocks, "key string, items long, owners long")

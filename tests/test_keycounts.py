@@ -43,3 +43,10 @@ def test_nulls_and_empty(spark):
     want = df.groupBy("key", "k1").agg(F.countDistinct("item"), F.countDistinct("owner"))
     assert rows(counts_per_key(df, ["key", "k1"], "item", "owner")) == rows(want)
     assert rows(counts_per_key(df.limit(0), ["key", "k1"], "item", "owner")) == []
+
+
+def test_an_item_under_two_owners_counts_once(spark):
+    df = spark.createDataFrame([("k", 1, 1), ("k", 1, 2), ("k", 2, 2), ("k", None, 3), ("n", None, None)], "k string, i long, o long")
+    assert rows(counts_per_key(df, ["k"], "i", "o")) == [("k", 2, 3), ("n", 0, 0)]
+    text = df.selectExpr("k", "i", "string(o) as o")
+    assert rows(counts_per_key(text, ["k"], "i", "o")) == [("k", 2, 3), ("n", 0, 0)]
