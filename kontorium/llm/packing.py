@@ -1,21 +1,22 @@
 """Filling containers of a fixed token capacity with whole texts.
 
 Texts are measured where they lie. Only ids and lengths are then spread by hash, since neighbours in a
-source are often alike and best fit wants sizes mixed. Each task packs its share as it comes, in runs that
-about fill the open bins and begin with their largest texts, by best fit: a bounded number of bins is open, kept in a bitset with one bit per amount of free space; a text goes into
-the bin that it fills most, found by bit arithmetic, and when too many bins are open the fullest closes.
-The bins still open at the end of a share are few; what they hold is packed again, many shares together,
-until one task has seen it all.
+source are often alike and best fit wants sizes mixed. Each task places its share online, text by text as
+they come: a fixed number of bins is open, kept in a bitset with one bit per amount of free space; a text goes
+into the bin that it fills best, found by bit arithmetic, and when too many bins are open the fullest closes.
+The bins still open at the end of a share are few; what they hold is placed again in the same way, many
+shares together, until one task has seen it all.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ from ..session import cut
 
 CAPACITY = 4096
 OPEN_BINS = 1024
-#: A run of texts that are packed largest first, as a share of what the open bins hold.
-RUN_FILL = 0.9
+#: Space that may stay free in a bin that counts as filled, as a share of the capacity.
+SLACK = 1 / 1024
+#: Texts after which a task looks anew at the lengths it has met.
+LOOK_EVERY = 1024
 #: Shares whose open bins are packed again together.
 MERGE_SPLITS = 16
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -60,12 +63,19 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
 
 
 class BestFit:
-    """Open bins by free space: a bitset of the amounts that occur and the bins of each amount."""
+    """Open bins by free space: a bitset of the amounts that occur and the bins of each amount.
+
+    A bin is filled best by a text that leaves no more than a little slack, else by one that leaves room for
+    another: at least the length that nine in ten texts so far reached. Space between the two is seldom used up, so
+    such a bin is taken only where no more bins may be opened.
+    """
 
     def __init__(self, capacity: int, open_bins: int) -> None:
         self.capacity, self.most = capacity, open_bins
         self.bits, self.n = 0, 0
         self.bins: dict[int, list[list]] = {}
+        self.slack = (1 << (int(capacity * SLACK) + 1)) - 1
+        self.seen, self.met, self.useful = np.zeros(capacity + 1, np.int64), 0, 0
 
     def _push(self, free: int, items: list) -> None:
         self.bins.setdefault(free, []).append(items)
@@ -81,16 +91,29 @@ class BestFit:
         self.n -= 1
         return items
 
+    def _gap(self, size: int) -> int | None:
+        """What stays free in the open bin that an item fills best; None where a new one is to be opened."""
+        room = self.bits >> size
+        filled = room & self.slack
+        if filled:
+            return (filled & -filled).bit_length() - 1
+        wide = room >> self.useful
+        if wide:
+            return self.useful + (wide & -wide).bit_length() - 1
+        if room and self.n >= self.most:
+            return (room & -room).bit_length() - 1
+        return None
+
     def add(self, item: tuple, size: int) -> list | None:
         """Place an item of at most the capacity; the items of a bin that closes, if one does."""
-        room = self.bits >> size
-        if room:
-            free = size + (room & -room).bit_length() - 1
-            items = self._pop(free)
-        else:
-            free, items = self.capacity, []
+        self.seen[size] += 1
+        self.met += 1
+        if self.met % LOOK_EVERY == 0:
+            self.useful = int(np.searchsorted(np.cumsum(self.seen), self.met / 10))
+        gap = self._gap(size)
+        items = [] if gap is None else self._pop(size + gap)
+        free = self.capacity - size if gap is None else gap
         items.append(item)
-        free -= size
         if free == 0:
             return items
         self._push(free, items)
@@ -125,9 +148,15 @@ class _Out:
 
 
 def _measure(path: str):
+    """Tokens of each text; the tokenizer's file comes with the job, so hosts need no copy of their own."""
+    name = os.path.basename(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import SparkFiles
+
+        own = SparkFiles.get(name)
         for b in batches:
-            n = [count_tokens(t.as_py() or "", path) for t in b.column(1)]
+            n = [count_tokens(t.as_py() or "", own) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return run
@@ -138,28 +167,14 @@ def _pack(capacity: int, open_bins: int):
         from pyspark import TaskContext
 
         fit, out = BestFit(capacity, open_bins), _Out(TaskContext.get().partitionId())
-        waiting: list[tuple[int, tuple]] = []
-        tokens = 0
-
-        def place() -> None:
-            waiting.sort(key=lambda x: -x[0])
-            for n, item in waiting:
-                out.put(fit.add(item, n), True)
-            waiting.clear()
-
         for b in batches:
             for doc, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 piece, start = 0, 0
                 while n - start > capacity:  # only a text above the capacity is divided
                     out.put([(doc, piece, start, capacity)], True)
                     piece, start = piece + 1, start + capacity
-                waiting.append((n - start, (doc, piece, start, n - start)))
-                tokens += n - start
-                if tokens >= RUN_FILL * open_bins * capacity or len(waiting) >= 64 * open_bins:
-                    place()
-                    tokens = 0
+                out.put(fit.add((doc, piece, start, n - start), n - start), True)
             yield out.flush()
-        place()
         for items in fit.rest():
             out.put(items, False)
         yield out.flush()
@@ -169,7 +184,7 @@ def _pack(capacity: int, open_bins: int):
 
 def _repack(capacity: int, open_bins: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pack leftover items again; rows come sorted by group, largest items first."""
+        """Place what the open bins held again; rows come sorted by group."""
         group, fit, out = None, None, None
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -198,6 +213,7 @@ def packed_documents(
     have a container each and its rest is packed like a text. Null and empty texts are items of no
     tokens. Containers never exceed the capacity. Empty input gives no rows.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure(tokenizer), "doc_id long, n_tokens long")
     mixed = items.withColumn("h", F.xxhash64("doc_id")).repartition("h").sortWithinPartitions("h", "doc_id", "n_tokens")
     level = cut(mixed.select("doc_id", "n_tokens").mapInArrow(_pack(capacity, open_bins), _SCHEMA), "packed")
@@ -206,9 +222,8 @@ def packed_documents(
     while width is not None:
         width //= merge_splits
         left = level.filter("NOT closed").select((F.col("part") / merge_splits).cast("int").alias("g"), "doc_id", "piece", "start", "n_tokens")
-        left = left.repartition("g").sortWithinPartitions("g", F.desc("n_tokens"), "doc_id", "piece")
-        # sorted items of a bounded number of bins: all of them may stay open at once
-        level = cut(left.mapInArrow(_repack(capacity, open_bins * merge_splits, width == 0), _SCHEMA), "packed")
+        left = left.repartition("g").sortWithinPartitions("g", F.xxhash64("doc_id", "piece"), "doc_id", "piece")
+        level = cut(left.mapInArrow(_repack(capacity, open_bins, width == 0), _SCHEMA), "packed")
         done.append(level.filter("closed").withColumn("level", F.lit(depth)))
         depth += 1
         if width == 0:
