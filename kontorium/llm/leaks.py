@@ -1,8 +1,8 @@
 """Test items that stand in a corpus: a positional inverted index and phrase search from rare terms.
 
-The index is sharded by document. A shard covers a few megabytes of text and holds, per term, the sorted
-places (document, position) at which it stands; only terms that some test item uses are stored. Shards
-are written to the shared folder. From their term counts each window of an item picks its rarest term;
+The index is built once, written, and serves any test items. It is sharded by document: a shard covers a few
+megabytes of text and holds, per term, the sorted places at which it stands, counted in words over the shard with
+a gap between documents. From the shards' term counts each window of an item picks its rarest term;
 that term's places, shifted to the start of the window, are the candidates, and the lists of the terms
 beside it are intersected with them, offset by offset. A shard answers alone, so no posting is shuffled.
 """
@@ -24,11 +24,15 @@ from ..session import cut
 RUN = 12
 #: Text of one index shard, in bytes; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
-#: Words of test items that one pass over the corpus may carry into every task; more take more passes.
+#: Words of test items that one pass over the index may carry into every task; more take more passes.
 PASS_WORDS = 2_000_000
+#: Places left free between two documents of a shard; no window may be longer.
+GAP = 4096
+#: Share of a window's weight, rare words weighing more, that must be there for an altered passage.
+WEIGHT = 0.85
 
 _NO_WORD = r"[^\p{L}\p{Nd}]+"
-_INDEX = "docs binary, terms binary, ends binary, places binary"
+_INDEX = "docs array<long>, starts array<long>, terms array<string>, counts array<int>, places binary"
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -66,67 +70,75 @@ def _shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def build_shard(ids: np.ndarray, texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
-    """(documents, terms, end of each term's list, places) of one shard; a place is document << 32 | position."""
+def build_shard(ids: np.ndarray, texts: pa.Array) -> tuple:
+    """(documents, first place of each, terms, places of each term, all places) of one shard, sorted by term and place."""
     lists = split_words(texts)
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    starts -= starts[0]
-    code = pc.index_in(lists.flatten(), value_set=vocabulary)
-    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(known)
-    term = code.drop_null().to_numpy().astype(np.int64)
-    doc = np.searchsorted(starts, at, "right") - 1
-    place = (doc << 32) | (at - starts[doc])
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    starts = ends[:-1] + GAP * np.arange(len(ids))
+    flat = lists.flatten()
+    code = pc.dictionary_encode(flat)
+    term = code.indices.to_numpy()
+    place = np.arange(len(flat)) + GAP * np.repeat(np.arange(len(ids)), np.diff(ends))
     order = np.argsort(term, kind="stable")  # places stay sorted within a term
-    term, place = term[order], place[order]
-    terms, first = np.unique(term, return_index=True)
-    return ids, terms, np.append(first, len(term))[1:].astype(np.int64), place
+    counts = np.bincount(term, minlength=len(code.dictionary))
+    blank = pc.index(code.dictionary, "").as_py() if len(flat) else -1
+    if blank >= 0:  # empty strings at the ends of a text are no words
+        order = order[term[order] != blank]
+        counts[blank] = 0
+    return ids, starts, code.dictionary, counts, place[order]
 
 
-def _build(vocabulary: pa.Array):
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in _shards(b.column(1)):
+            docs, starts, terms, counts, places = build_shard(ids[lo:hi], b.column(1).slice(lo, hi - lo))
+            row = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), terms, pa.array(counts, pa.int32())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([_pack_places(places, counts)], types[4])], [f.split()[0] for f in _INDEX.split(", ")])
+
+
+def _pack_places(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Steps from place to place, each term's beginning from 0, the bytes of equal weight together, compressed."""
+    steps = np.diff(places, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    steps[first] = places[first]
+    return pa.compress(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack_places(data: bytes, counts: np.ndarray) -> np.ndarray:
+    n = int(counts.sum())
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    total = np.cumsum(steps)
+    # what earlier terms have added is taken off again
+    before = np.concatenate([[0], total])[np.cumsum(counts) - counts]
+    return total - np.repeat(before, counts)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The shards of a corpus (``doc_id``, ``text``) over all its terms, written; rows without an id are left out."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    return cut(source.mapInArrow(_build, _INDEX), "index")
+
+
+def _count_terms(vocabulary: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in _shards(b.column(1)):
-                shard = build_shard(ids[lo:hi], b.column(1).slice(lo, hi - lo), vocabulary)
-                docs, terms, ends, places = (x.astype(np.int64) for x in shard)
-                cols = [docs.tobytes(), terms.astype(np.int32).tobytes(), ends.tobytes(), _pack_places(places)]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["docs", "terms", "ends", "places"])
+            for i in range(b.num_rows):
+                at = pc.index_in(b.column(0)[i].values, value_set=vocabulary)
+                known = pc.is_valid(at)
+                yield pa.RecordBatch.from_arrays([at.filter(known), pc.cast(b.column(1)[i].values.filter(known), pa.int64())], ["term", "n"])
 
     return run
 
 
-def _pack_places(places: np.ndarray) -> bytes:
-    """Document and position columns apart, compressed."""
-    doc, pos = (places >> 32).astype(np.int32), (places & 0xFFFFFFFF).astype(np.int32)
-    raw = np.concatenate([np.diff(doc, prepend=np.int32(0)), pos]).tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
-
-
-def _unpack_places(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[-8:], "little")
-    both = np.frombuffer(pa.decompress(data[:-8], decompressed_size=n, codec="zstd", asbytes=True), np.int32)
-    half = len(both) // 2
-    return (np.cumsum(both[:half].astype(np.int64)) << 32) | both[half:].astype(np.int64)
-
-
-def build_index(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
-    """The shards of a corpus (``doc_id``, ``text``) over the terms of a vocabulary, written."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return cut(source.mapInArrow(_build(vocabulary), _INDEX), "index")
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for terms, ends in zip(b.column(0), b.column(1)):
-            t, e = np.frombuffer(terms.as_py(), np.int32), np.frombuffer(ends.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(np.diff(e, prepend=0), pa.int64())], ["term", "n"])
-
-
-def term_counts(index: DataFrame, size: int) -> np.ndarray:
+def term_counts(index: DataFrame, vocabulary: pa.Array) -> np.ndarray:
     """How often each term of the vocabulary stands in the corpus; as many numbers as the test items have terms."""
-    rows = index.select("terms", "ends").mapInArrow(_count_terms, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(size, np.int64)
+    rows = index.select("terms", "counts").mapInArrow(_count_terms(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocabulary), np.int64)
     for r in rows.collect():
         out[r["term"]] = r["n"]
     return out
@@ -153,17 +165,21 @@ def rare_anchors(items: TestItems, counts: np.ndarray, run: int, rarest: int = 1
 
 
 class Shard:
-    """One shard in memory; ``places(term)`` is its sorted list."""
+    """One shard in memory; ``places(term)`` is the sorted list of a term of the vocabulary."""
 
-    def __init__(self, docs: bytes, terms: bytes, ends: bytes, places: bytes) -> None:
-        self.docs, self.terms = np.frombuffer(docs, np.int64), np.frombuffer(terms, np.int32)
-        self.ends, self.all = np.frombuffer(ends, np.int64), _unpack_places(places)
+    def __init__(self, docs: np.ndarray, starts: np.ndarray, terms: pa.Array, counts: np.ndarray, places: bytes, vocabulary: pa.Array) -> None:
+        self.docs, self.starts, self.all = docs, starts, _unpack_places(places, counts)
+        self.ends = np.cumsum(counts)
+        self.at = pc.fill_null(pc.index_in(vocabulary, value_set=terms), -1).to_numpy()
+        self.terms = np.flatnonzero(self.at >= 0)
 
     def places(self, term: int) -> np.ndarray:
-        i = int(np.searchsorted(self.terms, term))
-        if i == len(self.terms) or self.terms[i] != term:
-            return self.all[:0]
-        return self.all[(self.ends[i - 1] if i else 0) : self.ends[i]]
+        i = self.at[term]
+        return self.all[:0] if i < 0 else self.all[(self.ends[i - 1] if i else 0) : self.ends[i]]
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """Ordinals of the documents in which places lie, each once."""
+        return np.unique(np.searchsorted(self.starts, places, "right") - 1)
 
 
 def _stands(at: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -187,38 +203,41 @@ def phrase_hits(shard: Shard, items: TestItems, anchors: dict[int, list[tuple[in
                     alive = alive[_stands(start[alive] + (q - p), shard.places(int(w[q])))]
                     length[alive] += 1
                     q += step
-            hits.update((k, int(d)) for d in np.unique(start[length >= run] >> 32))
+            hits.update((k, int(d)) for d in shard.documents(start[length >= run]))
     return hits
 
 
 def near_hits(
-    shard: Shard, items: TestItems, anchors: dict[int, list[tuple[int, int]]], run: int, least: int, slop: int
+    shard: Shard, items: TestItems, anchors: dict[int, list[tuple[int, int]]], run: int, least: int, slop: int, weights: np.ndarray, share: float
 ) -> set[tuple[int, int]]:
-    """(item, document ordinal) where ``least`` of ``run`` item words stand within ``slop`` of their places."""
+    """(item, document ordinal) where ``least`` of ``run`` item words, with ``share`` of their weight, stand within ``slop`` of their places."""
     hits: set[tuple[int, int]] = set()
     for term in np.intersect1d(shard.terms, np.fromiter(anchors, np.int64, len(anchors))):
         start = shard.places(int(term))
         for k, p in anchors[int(term)]:
             w = items.words[k]
             lo, hi = max(0, p - run + 1), min(len(w), p + run)
-            there = np.zeros((hi - lo, len(start)), np.int64)
+            there = np.zeros((hi - lo, len(start)))
             for q in range(lo, hi):
                 places = shard.places(int(w[q]))
                 want = start + (q - p)
                 there[q - lo] = np.searchsorted(places, want + slop, "right") > np.searchsorted(places, want - slop)
             there[p - lo] = 1
-            total = np.vstack([np.zeros((1, len(start)), np.int64), np.cumsum(there, axis=0)])
-            if hi - lo >= run:
-                best = (total[run:] - total[:-run]).max(axis=0)
-                hits.update((k, int(d)) for d in np.unique(start[best >= least] >> 32))
+            if hi - lo < run:
+                continue
+            heavy = weights[w[lo:hi]][:, None]
+            total, weight, whole = (np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]) for x in (there, there * heavy, heavy))
+            enough = (total[run:] - total[:-run] >= least) & (weight[run:] - weight[:-run] >= share * (whole[run:] - whole[:-run]))
+            hits.update((k, int(d)) for d in shard.documents(start[enough.any(axis=0)]))
     return hits
 
 
 def _search(items: TestItems, anchors: dict[int, list[tuple[int, int]]], find, *args):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                shard = Shard(*row)
+            for i in range(b.num_rows):
+                docs, starts, terms, counts = (b.column(c)[i].values for c in range(4))
+                shard = Shard(docs.to_numpy(), starts.to_numpy(), terms, counts.to_numpy(), b.column(4)[i].as_py(), items.vocabulary)
                 hits = sorted(find(shard, items, anchors, *args))
                 item = pa.array([items.ids[k] for k, _ in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays([item, pa.array([int(shard.docs[d]) for _, d in hits], pa.int64())], ["item_id", "doc_id"])
@@ -241,43 +260,53 @@ def _blocks(items: DataFrame, pass_words: int) -> Iterator[list[tuple[int, str |
         yield block
 
 
-def _over_blocks(docs: DataFrame, items: DataFrame, pass_words: int, search) -> DataFrame:
+def _over_blocks(docs: DataFrame, items: DataFrame, index: DataFrame | None, pass_words: int, search) -> DataFrame:
+    """The pairs that ``search`` finds of each block of test items, all in one index."""
     out = None
     for block in _blocks(items, pass_words):
+        index = build_index(docs) if index is None else index
         part = TestItems.of(block)
-        index = build_index(docs, part.vocabulary)
-        found = search(index, part, term_counts(index, len(part.vocabulary)))
+        found = search(index, part, term_counts(index, part.vocabulary))
         out = found if out is None else out.union(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "item_id long, doc_id long")
     return out.distinct()
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, pass_words: int = PASS_WORDS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, pass_words: int = PASS_WORDS, index: DataFrame | None = None) -> DataFrame:
     """``item_id, doc_id``: pairs where ``run`` consecutive words of the item stand in a row in the document.
 
     Words are runs of letters and digits without regard to case; what lies between them does not matter.
     Null and empty texts match nothing, items shorter than ``run`` words neither. Each pair comes once.
+    ``index`` is the corpus's ``build_index``, if it is at hand.
     """
+    if run > GAP:
+        raise ValueError(f"windows of at most {GAP} words")
 
     def search(index: DataFrame, part: TestItems, counts: np.ndarray) -> DataFrame:
         return index.mapInArrow(_search(part, rare_anchors(part, counts, run), phrase_hits, run), "item_id long, doc_id long")
 
-    return _over_blocks(docs, items, pass_words, search)
+    return _over_blocks(docs, items, index, pass_words, search)
 
 
 def near_items(
-    docs: DataFrame, items: DataFrame, run: int = RUN, least: int = 10, slop: int = 2, pass_words: int = PASS_WORDS
+    docs: DataFrame, items: DataFrame, run: int = RUN, least: int = 10, slop: int = 2, share: float = WEIGHT, pass_words: int = PASS_WORDS, index: DataFrame | None = None
 ) -> DataFrame:
     """``item_id, doc_id``: pairs where ``least`` of ``run`` consecutive item words stand near their places.
 
-    A word counts if it stands within ``slop`` words of where the window's alignment puts it. Windows are
-    aligned on one of their ``run - least + 1`` rarest terms, of which at least one must be there.
+    A word counts if it stands within ``slop`` words of where the window's alignment puts it. The words that
+    count must also have ``share`` of the window's weight: a word weighs the cube of the logarithm of how rare it is
+    in the corpus, so sentences of common words around other names are no match. Windows are aligned on one of their
+    ``run - least + 1`` rarest terms, of which at least one must be there.
     """
+    if run + slop > GAP:
+        raise ValueError(f"windows of at most {GAP - slop} words")
     rarest = run - least + 1
 
     def search(index: DataFrame, part: TestItems, counts: np.ndarray) -> DataFrame:
         anchors = rare_anchors(part, counts, run, rarest, run - least)
-        return index.mapInArrow(_search(part, anchors, near_hits, run, least, slop), "item_id long, doc_id long")
+        all_words = index.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, n: x + n))).first()[0] or 0
+        weights = np.log((all_words + 1) / (counts + 1)) ** 3
+        return index.mapInArrow(_search(part, anchors, near_hits, run, least, slop, weights, share), "item_id long, doc_id long")
 
-    return _over_blocks(docs, items, pass_words, search)
+    return _over_blocks(docs, items, index, pass_words, search)

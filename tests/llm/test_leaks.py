@@ -68,6 +68,32 @@ def test_near(spark):
     assert rows(leaked_items(d, i)) == [(1, 1)]
 
 
+def test_near_against_planted_alterations(spark, sf):
+    """Passages of the table's own items with words changed, added or left out, put into its own texts."""
+    r = random.Random(4)
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    pool = [w for _, t in docs for w in words(t)]
+    long = [(k, words(t)) for k, t in items if len(words(t)) >= 16]
+    planted = set()
+    for n in range(0, len(docs), 2):
+        k, w = r.choice(long)
+        size = r.randint(14, min(26, len(w)))
+        lo = r.randint(0, len(w) - size)
+        p = w[lo : lo + size]
+        for _ in range(1 if size < 20 else 2):
+            at, how = r.randrange(1, len(p) - 1), r.choice("cad")
+            p = p[:at] + ([] if how == "d" else [r.choice(pool)]) + p[at + (how != "a") :]
+        doc, t = docs[n]
+        docs[n] = (doc, f"{t} {' '.join(p)}.")
+        planted.add((k, doc))
+    d, i = frames(spark, docs, items)
+    index = leaks.build_index(d)
+    exact = {tuple(x) for x in leaked_items(d, i, index=index).collect()}
+    near = {tuple(x) for x in near_items(d, i, index=index).collect()}
+    assert len(near & planted) >= 0.9 * len(planted) and len(near & (planted | exact)) >= 0.7 * len(near)
+
+
 def test_empty_and_long(spark):
     d, i = frames(spark, [(1, "a " * 300_000 + "b c d e")], [(1, "b c d"), (2, "a a a")])
     assert rows(leaked_items(d, i, 3)) == [(1, 1), (2, 1)]
