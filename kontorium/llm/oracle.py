@@ -8,7 +8,13 @@ _SAYS_NOTHING = """('', 'n a', 'null', 'none', 'nil', 'unknown', 'not known', 'n
 'sin datos', 'no data', 'no value', 'desconocido', 'no aplica', 'not applicable', 'undefined', 'unbekannt', 'keine angabe', 'inconnu', 'tbd')"""
 _FIELDS = ["first_name", "last_name", "organization_name", "address_1_formatted", "photo", "email_1_value"]
 _WORDS = r"array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{Nd}}]+'), ' ')"
-_MELT = " union all ".join(f"select row_id, source_file, updated_at, '{f}' as field_name, {_WORDS.format(f)} as w from contact_rows" for f in _FIELDS)
+_MELT = " union all ".join(f"select row_id, source_file, updated_at, '{f}' as field_name, {f} as value, {_WORDS.format(f)} as w from contact_rows" for f in _FIELDS)
+_P5 = f"""with m as (select distinct group_id, row_id from group_members where group_id is not null),
+v as ({_MELT}),
+c as (select m.group_id, v.field_name, v.row_id, v.value, row_number() over (partition by m.group_id, v.field_name
+  order by coalesce(f.trust, 0) desc, v.updated_at desc nulls last, v.row_id) as rn
+  from m join v using (row_id) left join contact_files f on f.source_file = v.source_file where v.w not in {_SAYS_NOTHING})"""
+_CELLS = ", ".join(f"max(case when field_name = '{f}' then value end) as {f}" for f in _FIELDS)
 
 _P9 = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from documents),
 b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from benchmark),
@@ -35,12 +41,8 @@ _SQL = {
 e as (select a, b from l union select b, a from l),
 reach(row_id, g) as (select a, a from e union select e.b, reach.g from reach join e on e.a = reach.row_id where reach.g < e.b)
 select row_id, min(g) as group_id from reach group by row_id""",
-    "p5_found": f"""with m as (select distinct group_id, row_id from group_members where group_id is not null),
-v as ({_MELT}),
-c as (select m.group_id, v.field_name, v.row_id, row_number() over (partition by m.group_id, v.field_name
-  order by coalesce(f.trust, 0) desc, v.updated_at desc nulls last, v.row_id) as rn
-  from m join v using (row_id) left join contact_files f on f.source_file = v.source_file where v.w not in {_SAYS_NOTHING})
-select group_id, field_name, row_id from c where rn = 1""",
+    "p5_found": f"{_P5} select group_id, field_name, row_id from c where rn = 1",
+    "p5_records": f"{_P5} select group_id, {_CELLS} from c where rn = 1 group by group_id",
     "p9_found": f"{_P9} select distinct item_id, doc_id from bg join dg using (g)",
     "p9_items": f"{_P9} select item_id, count(distinct doc_id) as documents from bg join dg using (g) group by item_id",
 }
