@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import jtrim
+from .text import CONTROL_CHARS, jtrim
 
 # What the results show for each rule, in the order of the rules.
 NO_DIGITS = "No digits found in token"
@@ -160,7 +160,6 @@ class Phone:
     warning: str | None
 
 
-_CONTROLS = "".join(map(chr, range(0x21)))
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
@@ -200,8 +199,8 @@ def parse_field(cell: str | None) -> tuple[list[Phone], list[Phone]]:
     """
     usable: list[Phone] = []
     rejected: list[Phone] = []
-    for raw in filter(None, (t.strip(_CONTROLS) for t in (cell or "").split(":::"))):
-        shown = raw.translate(_FOLD).strip(_CONTROLS)
+    for raw in filter(None, (t.strip(CONTROL_CHARS) for t in (cell or "").split(":::"))):
+        shown = raw.translate(_FOLD).strip(CONTROL_CHARS)
         d = "".join(ch for ch in shown if ch in "0123456789")
         zeros = False
         if not d:

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 
 NAME_TOKEN = r"[\p{L}\p{Nd}']+"
 WORD = r"[\p{L}\p{Nd}]+"
-#: White space, the no-break and typographic spaces included.
-BLANK = r"[\s\p{Z}\x{85}\x1C-\x1F]"
+# White space, the no-break and typographic spaces included; the characters up to U+0020.
+BLANK_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CONTROL_CHARS = "".join(map(chr, range(0x21)))
 
 
 def jtrim(c: Column) -> Column:
     """Strip every character up to U+0020 from both ends; a no-break space stays. Null gives null."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(CONTROL_CHARS))
 
 
 def trim_blank(c: Column) -> Column:
     """Strip white space of any kind from both ends. Null gives null."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def non_blank(c: Column) -> Column:

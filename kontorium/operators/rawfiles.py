@@ -31,9 +31,11 @@ _MAIL = r"^[^\s@]+@[^\s@]+$"
 def raw_type(c: Column) -> Column:
     """number, date, flag or text; null where the cell is blank."""
     v = trim_blank(c)
+    digit = (v >= "0") & (v < ":")  # patterns are tried on what begins with a digit only
     return (
         F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
-        .when(v.rlike(NUMBER), "number").when(v.rlike(DATE), "date").when(F.lower(v).isin(*FLAG_WORDS), "flag").otherwise("text")
+        .when(digit, F.when(v.rlike(NUMBER), "number").when(v.rlike(DATE), "date").otherwise("text"))
+        .when(F.lower(v).isin(*FLAG_WORDS), "flag").otherwise("text")
     )
 
 

@@ -85,8 +85,14 @@ def _shelter(lines: pa.Array) -> tuple[pa.Array, list[tuple[str, str]]]:
     return lines, undo
 
 
-def _read_width(lines: pa.Array, width: int) -> tuple[np.ndarray, pa.ListArray]:
-    """(position, cells) of the records that have ``width`` cells; pyarrow's callback skips the others."""
+def _read_width(lines: pa.Array, width: int) -> tuple[np.ndarray, pa.ListArray, list[int]]:
+    """(position and cells of the records that have ``width`` cells; positions of those that pyarrow's callback names)."""
+    rejected: list[int] = []
+
+    def invalid(row: pacsv.InvalidRow) -> str:
+        rejected.append(int(row.text.split(",", 1)[0]))
+        return "skip"
+
     lines, undo = _shelter(lines)
     numbered = pc.binary_join_element_wise(pc.cast(pa.array(np.arange(len(lines))), pa.string()), lines, ",")
     text = "\n".join(numbered.to_pylist()).encode() + b"\n"
@@ -94,7 +100,7 @@ def _read_width(lines: pa.Array, width: int) -> tuple[np.ndarray, pa.ListArray]:
     table = pacsv.read_csv(
         io.BytesIO(text),
         read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(text) + 1),
-        parse_options=pacsv.ParseOptions(newlines_in_values=False, invalid_row_handler=lambda row: "skip"),
+        parse_options=pacsv.ParseOptions(newlines_in_values=False, invalid_row_handler=invalid),
         convert_options=pacsv.ConvertOptions(
             column_types={"at": pa.int64(), **{n: pa.string() for n in names[1:]}}, strings_can_be_null=False
         ),
@@ -104,25 +110,28 @@ def _read_width(lines: pa.Array, width: int) -> tuple[np.ndarray, pa.ListArray]:
     columns = [table.column(c).combine_chunks() for c in names[1:]]
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
     if not n:
-        return at, pa.array([], pa.list_(pa.string()))
+        return at, pa.array([], pa.list_(pa.string())), rejected
     flat = pa.concat_arrays(columns).take(pa.array((np.arange(width)[None, :] * n + np.arange(n)[:, None]).ravel()))
     for free, mark in undo:
         flat = pc.replace_substring(flat, free, mark)
-    return at, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat)
+    return at, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat), rejected
 
 
 def parse_lines(lines: pa.Array, widths: np.ndarray) -> tuple[list[str | None], pa.Array]:
     """Reason (null where the record is sound) and cells of each record, given the width its header asks for."""
     lines = pc.fill_null(lines, "")
     quoted = pc.match_substring_regex(lines, WELL_QUOTED).to_numpy(zero_copy_only=False)
-    reason = np.where(quoted, "column_count", "broken_quoting").astype(object)
+    # a record of a file without a header has no right number of cells
+    reason = np.where(quoted, np.where(widths == 0, "column_count", None), "broken_quoting").astype(object)
     places, lists = [], []
     for width in np.unique(widths[quoted]):
         if width == 0:
             continue
         here = np.flatnonzero(quoted & (widths == width))
-        at, cells = _read_width(lines.take(pa.array(here)), int(width))
-        reason[here[at]] = None
+        at, cells, rejected = _read_width(lines.take(pa.array(here)), int(width))
+        reason[here[rejected]] = "column_count"
+        if len(at) + len(rejected) != len(here):
+            raise ValueError("the CSV reader lost records")
         places.append(here[at])
         lists.append(cells)
     slot = np.full(len(lines), -1)
