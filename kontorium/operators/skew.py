@@ -18,10 +18,14 @@ def hot_limit(spark: SparkSession, total: int) -> int:
     return max(1, total // (4 * shuffle_width(spark)))
 
 
-def hot_keys(df: DataFrame, on: list[str], total: int) -> DataFrame:
-    """The hot keys of a table of ``total`` rows; null is none. Counts are combined before the shuffle."""
+def hot_keys(df: DataFrame, on: list[str], total: int, counted: bool = False) -> DataFrame:
+    """The hot keys of a table of ``total`` rows; null is none. Counts are combined before the shuffle.
+
+    ``counted`` adds ``rows``, how many rows a key has.
+    """
     full = " AND ".join(f"`{c}` IS NOT NULL" for c in on)
-    return df.filter(full).groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_limit(df.sparkSession, total)).select(*on)
+    per = df.filter(full).groupBy(*on).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_limit(df.sparkSession, total))
+    return per if counted else per.drop("rows")
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -39,3 +43,17 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame,
         lost = big.filter(f"NOT ({full})")
         out = out.unionByName(lost, allowMissingColumns=True)
     return out
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, total: int, by: str) -> DataFrame:
+    """Inner join as ``spread_join``, where single rows of ``small`` may be too large to broadcast.
+
+    ``hot`` has counts. A hot key's rows are spread by the column ``by`` over as many salts as it takes for none to be
+    hot, and its row of ``small`` is repeated for each; together no more than the hot keys and four rows per shuffle partition for every ``total`` rows of ``big``.
+    """
+    salts = F.ceil(F.col("rows") / F.lit(hot_limit(big.sparkSession, total))).cast("int")
+    few = F.broadcast(hot.select(*on, salts.alias("_salts")))
+    spread = big.join(few, on).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).drop("_salts")
+    repeated = small.join(few, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    warm = spread.join(repeated, [*on, "_salt"]).drop("_salt")
+    return warm.unionByName(big.join(few.drop("_salts"), on, "left_anti").join(small, on))
