@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, hot_limit, spread_join
+from ..operators.skew import hot_keys, hot_limit, salted_join, spread_join
 from ..session import cut
 
 # Marks that a broken transfer leaves, and abbreviations whose point ends no sentence.
@@ -194,9 +194,9 @@ def prefix_texts(docs: DataFrame, judged: DataFrame) -> DataFrame:
     asked = asked.groupBy("step", "start").agg(F.count("*").alias("askers"), F.sort_array(F.collect_set("size")).alias("sizes"))
     reach = texts.select("doc_id", F.col("size").alias("own"), F.posexplode("steps").alias("step", "start"))
     total = texts.count()
-    # beginnings that many texts share; those that nobody asks at fall away in the join all the same
-    shared = cut(hot_keys(reach, ["step", "start"], total), "shared")
-    found = spread_join(reach, asked, ["step", "start"], shared)
+    # beginnings that many texts share, at which many lengths may be asked for
+    shared = cut(hot_keys(reach, ["step", "start"], total, counted=True), "shared")
+    found = salted_join(reach, asked, ["step", "start"], shared, total, "doc_id")
     found = found.withColumn("sizes", F.filter("sizes", lambda n: n < F.col("own"))).filter(F.size("sizes") > 0)
     probes = cut(found.groupBy("doc_id").agg(F.flatten(F.collect_list("sizes")).alias("sizes")), "probes")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(bare_text(F.col("text")), "UTF-8").alias("text"))

@@ -68,6 +68,13 @@ def test_near(spark):
     assert rows(leaked_items(d, i)) == [(1, 1)]
 
 
+def test_texts_without_words(spark):
+    d, i = frames(spark, [(1, ""), (2, None), (3, " , ")], [(1, "b c d"), (2, " ")])
+    assert rows(leaked_items(d, i, 3)) == [] and rows(near_items(d, i)) == []
+    with pytest.raises(ValueError):
+        leaked_items(d, i, leaks.GAP + 1)
+
+
 def test_near_against_planted_alterations(spark, sf):
     """Passages of the table's own items with words changed, added or left out, put into its own texts."""
     r = random.Random(4)
