@@ -18,6 +18,8 @@ from .ordered import with_previous
 
 #: Fields whose change of type counts.
 TYPED_FIELDS = ["Birthday", "Starred", "Times Contacted", "Postal Code"]
+#: Fields whose cells are checked against the file's main type.
+CHECKED_FIELDS = ["Birthday", "Starred", "Times Contacted"]
 
 # The words of a flag.
 FLAG_WORDS = ["true", "false", "yes", "no"]
@@ -53,14 +55,19 @@ def path_values(records: DataFrame) -> DataFrame:
     """Sound records as ``file_id, source_row_number, path_values``: a map from field to raw cell."""
     good = records.filter("reason IS NULL")
     paired = F.arrays_zip(F.col("fields").alias("k"), F.col("cells").alias("v"))
-    # the first cell of a repeated field holds
-    first = F.filter(paired, lambda x, i: F.array_position(F.col("fields"), x["k"]) == i + 1)
-    return good.select("file_id", "source_row_number", F.map_from_entries(first).alias("path_values"))
+    # the first cell of a repeated field holds; few headers repeat one
+    first = F.map_from_entries(F.filter(paired, lambda x, i: F.array_position(F.col("fields"), x["k"]) == i + 1))
+    plain = F.size(F.array_distinct("fields")) == F.size("fields")
+    return good.select("file_id", "source_row_number", F.when(plain, F.map_from_arrays("fields", "cells")).otherwise(first).alias("path_values"))
 
 
-def path_types(records: DataFrame) -> DataFrame:
-    """``file_id, field_name, raw_type, cells``: how many cells of each path of a file have each raw type."""
-    cells = path_values(records).select("file_id", F.explode("path_values").alias("field_name", "cell"))
+def path_types(records: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """``file_id, field_name, raw_type, cells``: how many cells of each path of a file have each raw type.
+
+    With ``fields`` only of these.
+    """
+    paths = F.col("path_values") if fields is None else F.map_filter("path_values", lambda k, _: k.isin(*fields))
+    cells = path_values(records).select("file_id", F.explode(paths).alias("field_name", "cell"))
     rows = cells.select("file_id", "field_name", raw_type(F.col("cell")).alias("raw_type"))
     return rows.filter("raw_type IS NOT NULL").groupBy("file_id", "field_name", "raw_type").agg(F.count("*").alias("cells"))
 
@@ -179,9 +186,8 @@ def value_failures(records: DataFrame, types: DataFrame) -> DataFrame:
     Contacted and Birthday may be.
     """
     good = records.filter("reason IS NULL")
-    checked = ["Birthday", "Starred", "Times Contacted"]
-    mains = main_types(types).filter(F.col("field_name").isin(*checked)).groupBy("file_id").agg(
-        *[F.max(F.when(F.col("field_name") == f, F.col("raw_type"))).alias(a) for f, a in zip(checked, ("birthday_main", "starred_main", "times_main"))]
+    mains = main_types(types).filter(F.col("field_name").isin(*CHECKED_FIELDS)).groupBy("file_id").agg(
+        *[F.max(F.when(F.col("field_name") == f, F.col("raw_type"))).alias(a) for f, a in zip(CHECKED_FIELDS, ("birthday_main", "starred_main", "times_main"))]
     )
     chunk = F.floor(F.col("source_row_number") / CHUNK_RECORDS)
     last = good.groupBy("file_id").agg(F.max(chunk).alias("last"))

@@ -19,7 +19,7 @@ from ..operators.clusters import capped_clusters
 from ..operators.components import components
 from ..operators.keycounts import counts_per_key
 from ..operators.packed import LABELS, NOTES, split_packed
-from ..operators.rawfiles import load_raw, path_types, path_values, rejects, schema_changes, typed_table
+from ..operators.rawfiles import CHECKED_FIELDS, load_raw, path_types, path_values, rejects, schema_changes, typed_table
 from ..operators.skew import hot_limit, spread_join
 from ..session import cut, shared_folder, ship, written
 from ..sources.exports import header_union, read_contacts, read_records
@@ -336,21 +336,21 @@ def p6_types(spark, d):
 @query
 def p7_found(spark, d):
     _, records = _raw(spark, d)
-    return rejects(records, path_types(records)).select("file_id", "source_row_number", "reason")
+    return rejects(records, path_types(records, CHECKED_FIELDS)).select("file_id", "source_row_number", "reason")
 
 
 @query
 def p7_cells(spark, d):
     """The failing cells behind each invalid value."""
     _, records = _raw(spark, d)
-    return rejects(records, path_types(records)).filter("fields IS NOT NULL")
+    return rejects(records, path_types(records, CHECKED_FIELDS)).filter("fields IS NOT NULL")
 
 
 @query
 def p7_loaded(spark, d):
     """All records without a reason, one row per field."""
     _, records = _raw(spark, d)
-    bad = rejects(records, path_types(records)).select("file_id", "source_row_number")
+    bad = rejects(records, path_types(records, CHECKED_FIELDS)).select("file_id", "source_row_number")
     good = path_values(records).join(bad, ["file_id", "source_row_number"], "left_anti")
     return good.select("file_id", "source_row_number", F.explode("path_values").alias("field_name", "cell"))
 

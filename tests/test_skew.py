@@ -10,7 +10,7 @@ from kontorium.operators.skew import hot_keys, hot_limit, salted_join, spread_jo
 @pytest.fixture(scope="module")
 def tables(spark):
     r = random.Random(2)
-    big = [(i, r.choice([1, 1, 1, 2, None, *range(3, 60)]), "x") for i in range(900)]
+    big = [(i, r.choice([1] * 30 + [2, None, *range(3, 60)]), "x") for i in range(900)]
     small = [(k, k * 10) for k in range(0, 60, 2)] + [(1, 10)]
     return spark.createDataFrame(big, "i long, k long, v string"), spark.createDataFrame(small, "k long, w long")
 
