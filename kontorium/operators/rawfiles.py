@@ -30,9 +30,8 @@ _DAY = r"^(?:(?P<y1>[0-9]{4})[-./](?P<m1>[0-9]{1,2})[-./](?P<d1>[0-9]{1,2})|(?P<
 _MAIL = r"^[^\s@]+@[^\s@]+$"
 
 
-def raw_type(c: Column) -> Column:
-    """number, date, flag or text; null where the cell is blank."""
-    v = trim_blank(c)
+def trimmed_type(v: Column) -> Column:
+    """number, date, flag or text, for a trimmed cell; null where it is null or empty."""
     digit = (v >= "0") & (v < ":")  # patterns are tried on what begins with a digit only
     return (
         F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
@@ -41,6 +40,11 @@ def raw_type(c: Column) -> Column:
     )
 
 
+def raw_type(c: Column) -> Column:
+    """The type of a cell; null where the cell is blank."""
+    return trimmed_type(trim_blank(c))
+
+
 def _snake(field: str) -> str:
     return "_".join("".join(ch if ch.isalnum() else " " for ch in field.lower()).split())
 
@@ -68,8 +72,9 @@ def path_types(records: DataFrame, fields: list[str] | None = None) -> DataFrame
     """
     paths = F.col("path_values") if fields is None else F.map_filter("path_values", lambda k, _: k.isin(*fields))
     cells = path_values(records).select("file_id", F.explode(paths).alias("field_name", "cell"))
-    rows = cells.select("file_id", "field_name", raw_type(F.col("cell")).alias("raw_type"))
-    return rows.filter("raw_type IS NOT NULL").groupBy("file_id", "field_name", "raw_type").agg(F.count("*").alias("cells"))
+    # trimmed in a step of its own, and blank cells left out by that, so that each cell is looked at once
+    filled = cells.select("file_id", "field_name", trim_blank(F.col("cell")).alias("v")).filter("v <> ''")
+    return filled.groupBy("file_id", "field_name", trimmed_type(F.col("v")).alias("raw_type")).agg(F.count("*").alias("cells"))
 
 
 def main_types(types: DataFrame) -> DataFrame:
