@@ -3,7 +3,7 @@
 Texts are measured where they lie. Only ids and lengths are then spread by hash, since neighbours in a
 source are often alike and best fit wants sizes mixed. Each task places its share online, text by text as
 they come: a fixed number of bins is open, kept in a bitset with one bit per amount of free space; a text goes
-into the bin that it fills best, found by bit arithmetic, and when too many bins are open the fullest closes.
+into the bin that it fills most, found by bit arithmetic, and when too many bins are open the fullest closes.
 The bins still open at the end of a share are few; what they hold is placed again in the same way, many
 shares together, until one task has seen it all.
 """
@@ -15,7 +15,6 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +23,6 @@ from ..session import cut
 
 CAPACITY = 4096
 OPEN_BINS = 1024
-#: Space that may stay free in a bin that counts as filled, as a share of the capacity.
-SLACK = 1 / 1024
-#: Texts after which a task looks anew at the lengths it has met.
-LOOK_EVERY = 1024
 #: Shares whose open bins are packed again together.
 MERGE_SPLITS = 16
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,19 +58,12 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
 
 
 class BestFit:
-    """Open bins by free space: a bitset of the amounts that occur and the bins of each amount.
-
-    A bin is filled best by a text that leaves no more than a little slack, else by one that leaves room for
-    another: at least the length that nine in ten texts so far reached. Space between the two is seldom used up, so
-    such a bin is taken only where no more bins may be opened.
-    """
+    """Open bins by free space: a bitset of the amounts that occur and the bins of each amount."""
 
     def __init__(self, capacity: int, open_bins: int) -> None:
         self.capacity, self.most = capacity, open_bins
         self.bits, self.n = 0, 0
         self.bins: dict[int, list[list]] = {}
-        self.slack = (1 << (int(capacity * SLACK) + 1)) - 1
-        self.seen, self.met, self.useful = np.zeros(capacity + 1, np.int64), 0, 0
 
     def _push(self, free: int, items: list) -> None:
         self.bins.setdefault(free, []).append(items)
@@ -91,29 +79,16 @@ class BestFit:
         self.n -= 1
         return items
 
-    def _gap(self, size: int) -> int | None:
-        """What stays free in the open bin that an item fills best; None where a new one is to be opened."""
-        room = self.bits >> size
-        filled = room & self.slack
-        if filled:
-            return (filled & -filled).bit_length() - 1
-        wide = room >> self.useful
-        if wide:
-            return self.useful + (wide & -wide).bit_length() - 1
-        if room and self.n >= self.most:
-            return (room & -room).bit_length() - 1
-        return None
-
     def add(self, item: tuple, size: int) -> list | None:
         """Place an item of at most the capacity; the items of a bin that closes, if one does."""
-        self.seen[size] += 1
-        self.met += 1
-        if self.met % LOOK_EVERY == 0:
-            self.useful = int(np.searchsorted(np.cumsum(self.seen), self.met / 10))
-        gap = self._gap(size)
-        items = [] if gap is None else self._pop(size + gap)
-        free = self.capacity - size if gap is None else gap
+        room = self.bits >> size
+        if room:
+            free = size + (room & -room).bit_length() - 1
+            items = self._pop(free)
+        else:
+            free, items = self.capacity, []
         items.append(item)
+        free -= size
         if free == 0:
             return items
         self._push(free, items)
